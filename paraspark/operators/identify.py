@@ -48,7 +48,7 @@ def prepare_targets(
         f"CASE WHEN molecular_formula = {istd} THEN '{ISTD_LABEL}' ELSE molecular_formula END AS molecular_formula",
         f"{finite('retention_time')} AS retention_time",
         "row_identity",
-    )
+    ).filter("molecular_formula IS NOT NULL")
     chlorines = chem.chlorine_count("molecular_formula", params.formula_mode)
     parsed = labelled.selectExpr(
         "*",
