@@ -8,6 +8,9 @@ from paraspark.functions.numeric import equality_key, ratio
 from paraspark.operators.joins import aggregate
 from paraspark.schema import BATCH
 
+# Fixed value: relative spread below which least squares calls a column constant.
+RANK_TOLERANCE = 1e-7
+
 MIXTURE_KEYS = (BATCH, "calibration_type", "chain_length")
 
 
@@ -70,15 +73,29 @@ def calibrate_chains(fits: DataFrame) -> DataFrame:
     """Per chain: calibrated Cl% range and the line response factor ~ Cl%.
 
     With one mixture, or mixtures of equal Cl%, there is no slope and the
-    intercept is the mean response factor.
+    intercept is the mean response factor. Equal means a spread below
+    ``RANK_TOLERANCE`` of the values: what is left is rounding, not content.
     """
     both = "response IS NOT NULL AND cl_degree IS NOT NULL"
-    return aggregate(
+    sums = aggregate(
         fits.withColumnRenamed("slope", "response"),
         [BATCH, "chain_length"],
         min_cl_degree="min(cl_degree)",
         max_cl_degree="max(cl_degree)",
-        intercept=f"coalesce(regr_intercept(response, cl_degree), avg(response) FILTER (WHERE {both}))",
-        slope="regr_slope(response, cl_degree)",
-        r_squared=f"coalesce(regr_r2(response, cl_degree), max(0.0D) FILTER (WHERE {both}))",
+        mean_response=f"avg(response) FILTER (WHERE {both})",
+        spread="regr_sxx(response, cl_degree)",
+        squares=f"sum(cl_degree * cl_degree) FILTER (WHERE {both})",
+        fit_intercept="regr_intercept(response, cl_degree)",
+        fit_slope="regr_slope(response, cl_degree)",
+        fit_r_squared="regr_r2(response, cl_degree)",
+    )
+    varies = f"spread >= {RANK_TOLERANCE}D * {RANK_TOLERANCE}D * squares AND spread > 0"
+    return sums.selectExpr(
+        BATCH,
+        "chain_length",
+        "min_cl_degree",
+        "max_cl_degree",
+        f"CASE WHEN {varies} THEN fit_intercept ELSE mean_response END AS intercept",
+        f"CASE WHEN {varies} THEN fit_slope END AS slope",
+        f"CASE WHEN {varies} THEN fit_r_squared WHEN mean_response IS NOT NULL THEN 0.0D END AS r_squared",
     )

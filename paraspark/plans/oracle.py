@@ -134,11 +134,17 @@ mix AS (
   SELECT l.batch_id, l.calibration_type, l.chain_length, c.cl_degree, l.slope, l.r_squared
   FROM lines l JOIN contents c USING (batch_id, calibration_type, chain_length)
 ),
-chain_cal AS (
+chain_fits AS (
   SELECT batch_id, chain_length, MIN(cl_degree) AS min_cl_degree, MAX(cl_degree) AS max_cl_degree,
-         COALESCE(REGR_INTERCEPT(slope, cl_degree), AVG(slope)) AS intercept,
-         REGR_SLOPE(slope, cl_degree) AS slope, COALESCE(REGR_R2(slope, cl_degree), 0) AS r_squared
+         REGR_SXX(slope, cl_degree) >= 1e-14 * SUM(cl_degree * cl_degree) AS varies, AVG(slope) AS mean_response,
+         REGR_INTERCEPT(slope, cl_degree) AS a, REGR_SLOPE(slope, cl_degree) AS b, REGR_R2(slope, cl_degree) AS r2
   FROM mix GROUP BY 1, 2
+),
+chain_cal AS (
+  SELECT batch_id, chain_length, min_cl_degree, max_cl_degree,
+         CASE WHEN varies THEN a ELSE mean_response END AS intercept, CASE WHEN varies THEN b END AS slope,
+         CASE WHEN varies THEN r2 ELSE 0 END AS r_squared
+  FROM chain_fits
 )"""
 
 _RESULTS = """,
