@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from paraspark.functions.numeric import ratio, total
-from paraspark.operators.identify import ISTD_CANDIDATE, injection_types, without_istd
+from paraspark.operators.identify import ISTD_CANDIDATE, injection_types
 from paraspark.operators.joins import aggregate, attach
 from paraspark.schema import BATCH, CALIBRATION, ISTD_IDENTITY, VARIANTS
 
@@ -30,7 +30,7 @@ def _content(v: str) -> str:
 
 
 def summarize_chains(rows: DataFrame, variants: Sequence[str] = VARIANTS) -> DataFrame:
-    """Total ratio and Cl% per (sample, chain), for each variant.
+    """Total ratio and Cl% per (sample, chain) of homologue rows.
 
     A name has one sample type (a contract check); carrying it as a key keeps
     the aggregation on the hash path. Homologues outside the chlorine range
@@ -40,7 +40,7 @@ def summarize_chains(rows: DataFrame, variants: Sequence[str] = VARIANTS) -> Dat
     for v in variants:
         measures[f"chain_total{v}"] = total(f"ratio{v}")
         measures[f"weighted{v}"] = f"sum(cl_degree * ratio{v})"
-    grouped = aggregate(without_istd(rows), CHAIN_KEYS, **measures)
+    grouped = aggregate(rows, CHAIN_KEYS, **measures)
     return grouped.selectExpr(
         *CHAIN_KEYS,
         "is_calibration",
@@ -88,7 +88,7 @@ def distribute(rows: DataFrame, summary: DataFrame, variants: Sequence[str] = VA
     rejects them before, as the wide raw export does.
     """
     joined = attach(
-        without_istd(rows),
+        rows,
         summary.drop("is_calibration"),
         CHAIN_KEYS,
         null_safe=CHAIN_KEYS[1:],

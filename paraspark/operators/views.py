@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from paraspark.functions.chemistry import facet_label
 from paraspark.functions.numeric import ratio
-from paraspark.operators.identify import without_istd
 from paraspark.operators.joins import aggregate, attach
 from paraspark.schema import BATCH, AssayParams
 
@@ -143,10 +142,8 @@ def chain_bars(results: DataFrame, variant: str = "") -> DataFrame:
 
 
 def _profile_rows(rows: DataFrame, variant: str, params: AssayParams) -> DataFrame:
-    return (
-        without_istd(rows)
-        .filter(f"cl_no BETWEEN {params.cl_min} AND {params.cl_max}")
-        .selectExpr(BATCH, "sample_name", "chain_length", "cl_no", f"coalesce(ratio{variant}, 0.0D) AS value")
+    return rows.filter(f"cl_no BETWEEN {params.cl_min} AND {params.cl_max}").selectExpr(
+        BATCH, "sample_name", "chain_length", "cl_no", f"coalesce(ratio{variant}, 0.0D) AS value"
     )
 
 

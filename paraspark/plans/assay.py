@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from paraspark.operators import blanks, calibration, contracts, distribution, identify, quantify, views, wide
-from paraspark.operators.joins import attach, within
+from paraspark.operators.joins import MAX_BROADCAST_ROWS, attach, within
 from paraspark.schema import BATCH, CALIBRATION, EXPORT_KEYS, VARIANTS, AssayParams, AssayTables
 from paraspark.session import tune
 
@@ -77,8 +77,22 @@ class Assay:
     def subtracted(self) -> DataFrame:
         return blanks.subtract_blanks(self.rows, self.blank_means, self.params)
 
+    @cached_property
+    def homologue_rows(self) -> DataFrame:
+        return identify.without_istd(self.rows)
+
+    def _subtract(self, rows: DataFrame) -> DataFrame:
+        """Blank subtraction among homologue rows; the standard's own blank
+        values play no part there."""
+        return blanks.subtract_blanks(rows, self._homologue_means, self.params)
+
+    @cached_property
+    def _homologue_means(self) -> DataFrame:
+        return blanks.blank_means(self.homologue_rows)
+
     def variant_rows(self, bs: bool) -> DataFrame:
-        return self.subtracted if bs else self.rows
+        """Homologue rows with the plain ratio, or with both."""
+        return self._subtract(self.homologue_rows) if bs else self.homologue_rows
 
     # distribution
 
@@ -88,10 +102,7 @@ class Assay:
 
     @cached_property
     def full_summary(self) -> DataFrame:
-        rows = identify.without_istd(self.rows)
-        return distribution.summarize_chains(
-            blanks.subtract_blanks(rows, blanks.blank_means(rows), self.params)
-        )
+        return distribution.summarize_chains(self.variant_rows(True))
 
     def summary(self, bs: bool) -> DataFrame:
         return self.full_summary if bs else self.plain_summary
@@ -103,7 +114,7 @@ class Assay:
     @cached_property
     def homologues(self) -> DataFrame:
         """The main frame with every column of both variants."""
-        return distribution.distribute(self.subtracted, self.full_summary)
+        return distribution.distribute(self.variant_rows(True), self.full_summary)
 
     # calibration: on plain values in either variant
 
@@ -134,10 +145,8 @@ class Assay:
         """
         if not bs:
             return quantify.quantifiable(self.plain_summary)
-        rows = identify.without_istd(self.rows)
-        means = blanks.blank_means(rows)
-        samples = rows.filter(f"sample_type != '{CALIBRATION}'")
-        return distribution.summarize_chains(blanks.subtract_blanks(samples, means, self.params))
+        samples = self.homologue_rows.filter(f"sample_type != '{CALIBRATION}'")
+        return distribution.summarize_chains(self._subtract(samples))
 
     def results(self, bs: bool = True) -> DataFrame:
         """Concentrations per (sample, chain): plain only, or both variants."""
@@ -186,10 +195,8 @@ class Assay:
         return self._export(self._laid_out_rows(), "peak_area")
 
     def normalized_export(self, bs: bool = True) -> DataFrame:
-        rows = self._laid_out_rows()
-        if bs:
-            rows = blanks.subtract_blanks(rows, self.blank_means, self.params)
-        return self._export(identify.without_istd(rows), f"ratio{_variant(bs)}")
+        rows = identify.without_istd(self._laid_out_rows())
+        return self._export(self._subtract(rows) if bs else rows, f"ratio{_variant(bs)}")
 
     def report_wide(self, bs: bool = True) -> DataFrame:
         placed = attach(self.report(bs), self.report_layout, [BATCH, "sample_name"])
@@ -216,7 +223,9 @@ class Assay:
     def _selected(self, results: DataFrame, samples: Sequence[str] | DataFrame | int | None) -> DataFrame:
         if isinstance(samples, int):
             chosen = views.first_samples(self.sample_list(), samples)
-            return views.select_samples(results, chosen, self.small_batches)
+            # At most `samples` rows per batch, and a batch has a mass list.
+            small = within(self.tables.mass_list, MAX_BROADCAST_ROWS // max(samples, 1))
+            return views.select_samples(results, chosen, small)
         return views.select_samples(results, samples)
 
     def class_bars(self, bs: bool, samples: Sequence[str] | DataFrame | int | None = 6) -> DataFrame:

@@ -22,6 +22,11 @@ CHLORINES = range(3, 13)
 # built from them, which would otherwise be evaluated for every order line.
 _BATCH = "coalesce(CAST(1 + l_orderkey % 2 AS INT), 0) AS batch_id"
 _SUPPLIER = "coalesce(l_suppkey, -1L) AS s"
+# The columns used, so that no file is opened to infer a schema.
+_LINEITEM = "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE"
+_PART = "p_partkey BIGINT, p_size INT"
+_SUPPLIERS = "s_suppkey BIGINT"
+
 _BATCHES = "explode(array(1, 2)) AS batch_id"
 _FORMULA = "concat('C', n, 'H', 2 * n + 2 - m, 'Cl', m)"
 _MZ = "n * 12.0D + m * 34.96885D + (n * 2 + 2 - m) * 1.007825D"
@@ -33,8 +38,8 @@ _TYPE = (
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lines = spark.read.schema(_LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
+    parts = spark.read.schema(_PART).parquet(f"{sf_dir}/part.parquet")
 
     ions = lines.join(parts.selectExpr("p_partkey AS l_partkey", "p_size"), "l_partkey").selectExpr(
         _BATCH,
@@ -86,7 +91,7 @@ def mass_list(spark: SparkSession) -> DataFrame:
 
 
 def assay_tables(spark: SparkSession, sf_dir: str) -> AssayTables:
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    suppliers = spark.read.schema(_SUPPLIERS).parquet(f"{sf_dir}/supplier.parquet")
     injections = suppliers.selectExpr(
         _BATCHES, "coalesce(s_suppkey, -1L) AS s"
     ).selectExpr("*", f"{_NAME} AS sample_name"

@@ -135,7 +135,7 @@ def test_results_do_not_depend_on_broadcasts(spark, name):
 def test_tables_past_the_bound_are_not_hinted(spark, stored, monkeypatch):
     assert within(stored.mass_list, 182) and not within(stored.mass_list, 181)
     assay = Assay(stored)
-    monkeypatch.setattr("paraspark.plans.assay.within", lambda df: False)
+    monkeypatch.setattr("paraspark.plans.assay.within", lambda *a: False)
     assert not assay.small_batches
     expected = rows(queries()["concentration_report"](spark, SF))
     monkeypatch.undo()
