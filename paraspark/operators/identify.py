@@ -103,16 +103,16 @@ def describe_injections(istd: DataFrame, sequence: DataFrame, blank_map: DataFra
     return attach(injections, labels, [BATCH, "sample_name"])
 
 
-def identified_rows(matched: DataFrame, injections: DataFrame) -> DataFrame:
+def identified_rows(matched: DataFrame, injections: DataFrame, how: str = "inner") -> DataFrame:
     """Peaks with a retention time and the columns of their injection.
 
     All injection-level columns arrive in this one join of the large table.
+    ``injections`` may be anything at injection grain: the described ones hold
+    every injection with a matched peak, the plain sequence (joined ``left``)
+    spares the pass over the peaks that finds their standard.
     """
-    return (
-        matched.filter("retention_time IS NOT NULL")
-        .join(injections, [BATCH, "replicate"])
-        .drop("is_istd")
-    )
+    known = matched.filter("retention_time IS NOT NULL").drop("is_istd")
+    return attach(known, injections, [BATCH, "replicate"], how=how)
 
 
 def normalize(rows: DataFrame) -> DataFrame:

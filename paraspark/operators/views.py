@@ -32,9 +32,9 @@ def first_samples(names: DataFrame, k: int) -> DataFrame:
 
 
 def select_samples(rows: DataFrame, samples: Sequence[str] | DataFrame | None, small: bool = False) -> DataFrame:
-    """Rows of the chosen samples: names, a (batch, name) table, or all."""
+    """Rows of the chosen samples: names, a (batch, name) table, or all named ones."""
     if samples is None:
-        return rows
+        return rows.filter("sample_name IS NOT NULL")
     if isinstance(samples, DataFrame):
         chosen = samples.select(*[c for c in (BATCH, "sample_name") if c in samples.columns])
         return rows.join(F.broadcast(chosen) if small else chosen, chosen.columns, "left_semi")

@@ -76,13 +76,16 @@ def _single(condition: str, value: str, what: str) -> str:
 def to_sheets(rows: DataFrame, keys: Sequence[str], value: str, width: int = SHEET_WIDTH) -> DataFrame:
     """Long to wide on the ``sheet`` and ``slot`` of each row, in one aggregation.
 
-    Two values for one cell stop the job: the number of rows of a wide row must
-    equal the number of distinct slots among them.
+    A wide row takes at most one value per slot, so combining on the map side
+    would only blow every value up to a row of empty slots: the narrow rows are
+    shuffled to their wide row instead. Two values for one cell stop the job:
+    the number of values of a wide row must equal the number of its slots.
     """
     columns = slot_names(width)
+    target = [*keys, "sheet"]
     wide = aggregate(
-        rows,
-        [*keys, "sheet"],
+        rows.select(*target, "slot", value).repartition(*target),
+        target,
         cells="count(*)",
         slots="bit_count(bit_or(shiftleft(1L, slot)))",
         **{name: f"max({value}) FILTER (WHERE slot = {i})" for i, name in enumerate(columns)},

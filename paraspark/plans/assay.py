@@ -56,13 +56,17 @@ class Assay:
             identify.istd_areas(self.matched), self.tables.sequence, self.tables.blank_map
         )
 
+    @cached_property
+    def typed_rows(self) -> DataFrame:
+        """Identified peaks with sample and type, without their standard."""
+        return identify.identified_rows(
+            self.matched, identify.injection_types(self.tables.sequence), how="left"
+        )
+
     @cached_property
     def rows(self) -> DataFrame:
         """Identified peaks with their ratio to the internal standard."""
-        return self._rows(self.injections)
-
-    def _rows(self, injections: DataFrame) -> DataFrame:
-        return identify.normalize(identify.identified_rows(self.matched, injections))
+        return identify.normalize(identify.identified_rows(self.matched, self.injections))
 
     def unmatched_peaks(self) -> DataFrame:
         return identify.unmatched_peaks(self.tables.peaks, self.targets)
@@ -180,10 +184,10 @@ class Assay:
         named = self.tables.sequence.filter(f"sample_type != '{CALIBRATION}'")
         return wide.sheet_layout(named, [BATCH], self.sheet_width)
 
-    def _laid_out_rows(self) -> DataFrame:
-        """Identified rows that got their sheet and slot with the injection."""
-        placed = self.injections.join(self.type_layout, [BATCH, "sample_type", "sample_name"])
-        return self._rows(placed)
+    def _placed(self, injections: DataFrame) -> DataFrame:
+        """Injections with the sheet and slot of their sample, which so reach
+        the peaks in the join that is made anyway."""
+        return injections.join(self.type_layout, [BATCH, "sample_type", "sample_name"])
 
     def _export(self, rows: DataFrame, value: str) -> DataFrame:
         keys = [BATCH, *EXPORT_KEYS]
@@ -192,10 +196,12 @@ class Assay:
         )
 
     def raw_export(self) -> DataFrame:
-        return self._export(self._laid_out_rows(), "peak_area")
+        placed = self._placed(identify.injection_types(self.tables.sequence))
+        return self._export(identify.identified_rows(self.matched, placed), "peak_area")
 
     def normalized_export(self, bs: bool = True) -> DataFrame:
-        rows = identify.without_istd(self._laid_out_rows())
+        rows = identify.identified_rows(self.matched, self._placed(self.injections))
+        rows = identify.without_istd(identify.normalize(rows))
         return self._export(self._subtract(rows) if bs else rows, f"ratio{_variant(bs)}")
 
     def report_wide(self, bs: bool = True) -> DataFrame:
@@ -257,13 +263,13 @@ class Assay:
     # checks
 
     def duplicate_keys(self) -> DataFrame:
-        return contracts.duplicate_keys(self.tables, self.rows)
+        return contracts.duplicate_keys(self.tables, self.typed_rows)
 
     def key_summary(self) -> DataFrame:
-        return contracts.key_summary(self.tables, self.rows)
+        return contracts.key_summary(self.tables, self.typed_rows)
 
     def istd_missing(self) -> DataFrame:
         return contracts.istd_missing(self.injections)
 
     def sample_types_present(self) -> DataFrame:
-        return contracts.sample_types_present(self.rows)
+        return contracts.sample_types_present(self.typed_rows)

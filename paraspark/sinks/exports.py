@@ -75,7 +75,7 @@ def named_report(assay: Assay, batch_id: int, bs: bool = True) -> DataFrame:
 
 def named_export(assay: Assay, batch_id: int, sample_type: str, value: str = "peak_area") -> DataFrame:
     """Sheet of one batch and sample type: ``peak_area``, ``ratio`` or ``ratio_bs``."""
-    rows = assay.rows if value == "peak_area" else assay.variant_rows(value == "ratio_bs")
+    rows = assay.typed_rows if value == "peak_area" else assay.variant_rows(value == "ratio_bs")
     rows = identify.of_type(rows.filter(F.col(BATCH) == batch_id), sample_type)
     names = wide.sheet_names(assay.type_layout, batch_id, sample_type)
     return wide.to_named_sheet(rows, list(EXPORT_KEYS), value, names).orderBy("row_identity")

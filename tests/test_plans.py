@@ -73,6 +73,13 @@ def test_plain_report_reads_peaks_once(stored):
     assert "ReusedExchange" in text
 
 
+def test_raw_export_reads_peaks_once_and_shuffles_narrow_rows(stored):
+    text = final_plan(Assay(stored).raw_export())
+    assert text.count("FileScan parquet [replicate") == 1
+    wide = next(l for l in text.splitlines() if "Exchange hashpartitioning" in l and "row_identity" in l)
+    assert "REPARTITION_BY_COL" in wide
+
+
 def test_blanks_and_samples_share_the_peak_exchange(spark, stored):
     with settings(spark, **NO_BROADCAST):
         text = final_plan(Assay(stored).report(True))
