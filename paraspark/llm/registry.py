@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paraspark.llm import license_scan, secret_scan
+from paraspark.llm import bpe, license_scan, mixing, secret_scan
 from paraspark.llm.common import read_table
 
 
@@ -18,8 +19,21 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The ranks file holds the vocabulary of byte_bpe_50k.json.
+    return bpe.bpe_digest(
+        read_table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_digest(mixing.mix_documents(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op5_bpe, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
