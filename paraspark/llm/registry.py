@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paraspark.llm import bpe, license_scan, mixing, secret_scan
+from paraspark.llm import bpe, license_scan, mixing, near_dedup, secret_scan
 from paraspark.llm.common import read_table
 
 
@@ -32,8 +32,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(mixing.mix_documents(read_table(spark, sf_dir, "documents")))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op5_bpe, op8_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op5_bpe, op8_mixing, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
