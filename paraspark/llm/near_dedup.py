@@ -7,7 +7,9 @@
    those with the longest common prefix are neighbours, however deep that is. For each
    document the neighbour found in most trees, deepest prefixes first, is confirmed on full
    sets. That joins the copies of dense regions by about one link each.
-3. Every region that still holds more than one component is searched in full: all its
+3. Twice, every document of a region that holds several components is confirmed with the
+   one of another component whose signature agrees most.
+4. Every region that still holds more than one component is searched in full: all its
    pairs across components whose signatures agree enough are confirmed. A region is split
    in chunks, and pairs of chunks go to tasks, so no region meets in one task.
 
@@ -35,9 +37,11 @@ TREES = 32
 DEPTH = 4
 #: Confirmed pairs have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Pairs whose signatures agree less are not confirmed: five standard deviations below 0.75.
-LEAST_AGREEMENT = 0.55
+#: Pairs whose signatures agree less are not confirmed: four standard deviations below 0.75.
+LEAST_AGREEMENT = 0.6
 CHUNK = 1024
+#: Rounds of step 3. They save work in step 4, which finds all links in any case.
+ROUNDS = 2
 _RANDOM = np.random.default_rng(75)
 _FACTORS = _RANDOM.integers(1, 1 << 32, TREES * DEPTH, dtype="u8").astype("u4") | np.uint32(1)
 _TERMS = _RANDOM.integers(0, 1 << 32, TREES * DEPTH, dtype="u8").astype("u4")
@@ -200,29 +204,45 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInPandas(_confirm, "a long, b long")
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two chunks of a region whose components differ and whose signatures agree enough."""
+def _agreements(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of two chunks of a region: each row, the rows of other components, how far signatures agree."""
     side = group["side"].to_numpy()
     sig = np.stack([np.frombuffer(s, dtype="u4") for s in group["signature"]])
     node, component = group["node"].to_numpy(), group["component"].to_numpy()
-    left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
-    a, b = [], []
-    for i in left:
+    for i in np.flatnonzero(side != 1):
         other = right[component[right] != component[i]]
         other = other[(side[other] != 2) | (node[other] > node[i])]
-        agree = (sig[other] == sig[i]).mean(axis=1) if len(other) else np.zeros(0)
-        hit = other[agree >= LEAST_AGREEMENT]
-        a.append(np.maximum(node[hit], node[i]))
-        b.append(np.minimum(node[hit], node[i]))
-    return pd.DataFrame({"a": np.concatenate(a or [[]]), "b": np.concatenate(b or [[]])}).astype("i8")
-
-
-def pairs_across(regions: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a region but no component, by agreement of their signatures."""
-    placed = regions.select("region", "node").join(components, "node", "left").select(
-        "region", "node", F.coalesce("component", "node").alias("component")
-    )
+        if len(other):
+            yield i, other, (sig[other] == sig[i]).mean(axis=1)
+
+
+def _best_across(group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, agreement): each row's best partner of another component."""
+    node = group["node"].to_numpy()
+    best, partner = np.zeros(len(group)), np.full(len(group), -1)
+    for i, other, agree in _agreements(group):
+        k = agree.argmax()
+        if agree[k] > best[i]:
+            best[i], partner[i] = agree[k], other[k]
+        better = agree > best[other]
+        best[other[better]], partner[other[better]] = agree[better], i
+    hit = best >= LEAST_AGREEMENT
+    return pd.DataFrame({"a": node[hit], "b": node[partner[hit]], "agreement": best[hit]})
+
+
+def _all_across(group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, agreement): all pairs of different components that agree enough."""
+    node = group["node"].to_numpy()
+    parts = [(np.full(len(other), i)[agree >= LEAST_AGREEMENT], other[agree >= LEAST_AGREEMENT]) for i, other, agree in _agreements(group)]
+    a = np.concatenate([x for x, _ in parts] or [np.zeros(0, dtype="i8")])
+    b = np.concatenate([y for _, y in parts] or [np.zeros(0, dtype="i8")])
+    return pd.DataFrame({"a": node[a], "b": node[b], "agreement": 1.0}).astype({"agreement": "f8"})
+
+
+def _across(regions: DataFrame, nodes: DataFrame, labels: DataFrame, pick) -> DataFrame:
+    """What ``pick`` gives for the pairs of chunks of each region with several components."""
+    placed = regions.select("region", "node").join(labels, "node")
     mixed = (
         placed.groupBy("region")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
@@ -240,7 +260,31 @@ def pairs_across(regions: DataFrame, nodes: DataFrame, components: DataFrame) ->
         F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     signed = dealt.join(nodes.select("node", "signature"), "node")
-    return signed.groupBy("region", "c0", "c1").applyInPandas(_across, "a long, b long").distinct()
+    return signed.groupBy("region", "c0", "c1").applyInPandas(pick, "a long, b long, agreement double")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels after the components at the ends of ``links`` are joined, and whether any were."""
+    ends = (
+        links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("from")), "a")
+        .join(labels.select(F.col("node").alias("b"), F.col("component").alias("to")), "b")
+        .where(F.col("from") != F.col("to"))
+        .select(F.col("from").alias("a"), F.col("to").alias("b"))
+    )
+    ends = cut_lineage(ends.distinct())
+    if ends.isEmpty():
+        return labels, False
+    joined = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return (
+        cut_lineage(
+            labels.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        ),
+        True,
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,10 +333,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     votes = forest_pairs(regions).groupBy("a", "b").agg(F.sum("depth").alias("votes"))
     nearest = votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
-    links = cut_lineage(confirm_pairs(nearest, sets))
-    dense = connected_components(links)
-    rest = cut_lineage(confirm_pairs(pairs_across(regions, nodes, dense), sets))
-    components = connected_components(links.unionByName(rest))
+    labels = cut_lineage(regions.select("node", F.col("node").alias("component")).distinct())
+    labels, more = _merged(labels, confirm_pairs(nearest, sets))
+    for _ in range(ROUNDS if more else 0):
+        found = _across(regions, nodes, labels, _best_across)
+        best = found.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b"))
+        labels, _ = _merged(labels, confirm_pairs(_ordered(best), sets))
+    rest = _ordered(_across(regions, nodes, labels, _all_across))
+    components, _ = _merged(labels, confirm_pairs(rest, sets))
     placed = nodes.select("node", "low").join(components, "node", "left").select(
         "node", "low", F.coalesce("component", "node").alias("component")
     )
