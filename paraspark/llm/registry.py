@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paraspark.llm import bpe, license_scan, mixing, near_dedup, secret_scan
+from paraspark.llm import ann, bpe, license_scan, mixing, near_dedup, secret_scan, toxicity
 from paraspark.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The ranks file holds the vocabulary of byte_bpe_50k.json.
     return bpe.bpe_digest(
@@ -36,8 +40,23 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = toxicity.train_on(documents, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op5_bpe, op8_mixing, op9_near_dedup)}
+    found = (
+        op1_license_scan,
+        op2_secret_scan,
+        op4_nearest_neighbours,
+        op5_bpe,
+        op8_mixing,
+        op9_near_dedup,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

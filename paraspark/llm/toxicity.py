@@ -44,6 +44,10 @@ LANDMARKS = 256
 TOXIC_DOCS = 1200
 CLEAN_DOCS = 2400
 STRINGS = 24
+#: Symbols of the runs by which strings are first judged.
+GRAM = 5
+#: Landmarks that may share the run that tells most of them.
+ALIKE = 12
 #: Standard errors of the log-odds from which a string of a toxic document is a witness at first.
 SURE = 3.5
 ROUNDS = 4
@@ -244,14 +248,14 @@ def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
     s = strings_of(text)
     np.maximum.at(value, s.text, _string_values(s, evidence))
 
+    # Kinds of strings are told apart by their value, which is that of the gram that tells most.
     first = pd.DataFrame({"s": text, "v": value, "t": toxic})[trained].drop_duplicates("s")
     ordered = first.sort_values(["v", "s"], ascending=[False, True])
     plain = ordered[~ordered["t"]]["s"]
-    landmarks = list(
-        dict.fromkeys(
-            [*ordered[ordered["t"]]["s"][: LANDMARKS * 5 // 8], *plain[: LANDMARKS // 4], *plain[::-1][: LANDMARKS // 8]]
-        )
-    )
+    dirty = ordered[ordered["t"]]
+    dirty = dirty[dirty.groupby("v").cumcount() < ALIKE]["s"]
+    landmarks = [*dirty[: LANDMARKS * 5 // 8], *plain[: LANDMARKS // 4], *plain[::-1][: LANDMARKS // 8]]
+    landmarks = list(dict.fromkeys(landmarks))
     base, codes = _features(landmarks)
     size, axes = np.linalg.eigh(base @ base.T)
     good = size > 1e-6 * max(size.max(), 1e-12)
@@ -261,7 +265,7 @@ def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
 
     def mapped(rows: np.ndarray) -> np.ndarray:
         return np.vstack(
-            [_features([text[r] for r in rows[i : i + 2000]], codes)[0] @ basis for i in range(0, len(rows), 2000)]
+            [_features([text[r] for r in rows[i : i + 500]], codes)[0] @ basis for i in range(0, len(rows), 500)]
         )
 
     score, sure = value, SURE
@@ -284,9 +288,20 @@ def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
     return Model(weights.astype("f4"), slope, offset)
 
 
+def _grams(s: Strings) -> tuple[np.ndarray, np.ndarray]:
+    """First places and hashes of the unbroken runs of ``GRAM`` symbols within strings."""
+    run = np.repeat(np.arange(len(s.starts), dtype="i4"), s.lengths)
+    at = np.flatnonzero(run[GRAM - 1 :] == run[: max(0, len(run) - GRAM + 1)])
+    code = np.zeros(len(at), dtype="u8")
+    for step in range(GRAM):
+        code = code * np.uint64(SYMBOLS) + s.symbols[at + step].astype("u8")
+    with np.errstate(over="ignore"):
+        return at, ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype("i8")
+
+
 def _string_values(s: Strings, evidence: np.ndarray) -> np.ndarray:
-    """Largest evidence of an unbroken subsequence of each string."""
-    at, code, _ = next(iter(_subsequences(s)), (np.zeros(0, "i8"), np.zeros(0, "i8"), 1.0))
+    """Largest evidence of a gram of each string."""
+    at, code = _grams(s)
     each = np.full(len(s.symbols), -10.0)
     each[at] = evidence[code]
     return np.maximum.reduceat(each, s.starts) if len(s.starts) else each
@@ -297,8 +312,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
             count[int(toxic), -1] += 1
-            for _, code, _ in itertools.islice(_subsequences(strings_of([text])), 1):
-                count[int(toxic), np.unique(code)] += 1
+            count[int(toxic), np.unique(_grams(strings_of([text]))[1])] += 1
     used = np.flatnonzero(count.sum(axis=0))
     yield pd.DataFrame({"code": used, "clean": count[0, used], "dirty": count[1, used]})
 
@@ -346,7 +360,7 @@ def train(labelled: DataFrame) -> Model:
     clean[counted["code"]], dirty[counted["code"]] = counted["clean"], counted["dirty"]
     prior = float((dirty[-1] + 1) / (clean[-1] + dirty[-1] + 2))
     a, b = dirty[:-1] + 0.5, clean[:-1] + 0.5
-    # Log-odds that a document with the subsequence is toxic, in standard errors.
+    # Log-odds that a document with the gram is toxic, in standard errors.
     evidence = (np.log(a / (dirty[-1] + 1)) - np.log(b / (clean[-1] + 1))) / np.sqrt(1 / a + 1 / b)
 
     def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
