@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paraspark.llm import ann, bpe, license_scan, mixing, near_dedup, secret_scan, toxicity
+from paraspark.llm import ann, bpe, fingerprints, license_scan, mixing, near_dedup, preferences, secret_scan, toxicity
 from paraspark.llm.common import read_table
 
 
@@ -19,6 +19,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.conversation_turns(read_table(spark, sf_dir, "conversations"))
+    return preferences.format_preferences(turns, preferences.rejected_from_next(turns))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
 
@@ -32,6 +37,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(mixing.mix_documents(read_table(spark, sf_dir, "documents")))
 
@@ -50,8 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan,
         op2_secret_scan,
+        op3_preference_format,
         op4_nearest_neighbours,
         op5_bpe,
+        op6_fingerprints,
         op8_mixing,
         op9_near_dedup,
         op10_toxicity,
