@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paraspark.llm.common import cut_lineage
+from paraspark.llm.common import cut_lineage, prepare
 
 CENTROIDS = 32
 #: Vectors that the centroids are fitted on.
@@ -116,6 +116,7 @@ def nearest_neighbours(
     An empty table gives an empty result; further columns are not looked at.
     """
     spark = vectors.sparkSession
+    prepare(spark)
     sound = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
     ).where(

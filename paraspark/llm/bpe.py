@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paraspark.llm.common import text_of
+from paraspark.llm.common import prepare, text_of
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
@@ -143,6 +143,7 @@ def encode_documents(
     columns are not looked at. ``piece_chars`` changes who does the work, never the ids.
     """
     spark = docs.sparkSession
+    prepare(spark)
     with open(ranks_path, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
     id_type = docs.schema[id_col].dataType

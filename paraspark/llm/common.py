@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the white-space contracts: blank and the controls 9 to 13.
-BLANKS = rb"\x20\x09-\x0D"
 PREFIX_BLOCK = 128
+ROWS_PER_BATCH = 500
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """``frame`` written once to the shared folder and read from there."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(frame.sparkSession))
-    return frame.checkpoint(eager=True)
+    """``frame`` written once to the shared folder as a table and read from there.
+
+    Unlike a checkpoint, what is read has neither the constraints nor the estimates of the
+    plan before it, which grow from round to round in loops.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/stages/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this package, and give them long rows in small batches.
+
+    The batch size is only set where the session has none of its own. On a cluster
+    whose nodes do not share the package's path it is shipped as usual.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().settings().containsKey(key):
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, *known) if x)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

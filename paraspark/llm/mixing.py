@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from paraspark.llm.common import cut_lineage, shuffle_partitions, text_of, tree_depth
+from paraspark.llm.common import cut_lineage, prepare, shuffle_partitions, text_of, tree_depth
 
 # Weights of the sources in order, share of all words, most copies.
 WEIGHTS = (5, 2, 1)
@@ -143,6 +143,7 @@ def mix_documents(
     empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
+    prepare(spark)
     text = text_of(docs, text_col)
     sized = cut_lineage(
         docs.select(

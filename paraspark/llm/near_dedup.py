@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paraspark.llm.common import cut_lineage, shuffle_partitions, text_of
+from paraspark.llm.common import cut_lineage, prepare, shuffle_partitions, text_of
 from paraspark.llm.components import connected_components
 from paraspark.llm.shingles import mix, shingle_set
 
@@ -204,40 +204,70 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInPandas(_confirm, "a long, b long")
 
 
-def _agreements(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _agreements(node: np.ndarray, component: np.ndarray, side: np.ndarray, sig: np.ndarray):
     """Of two chunks of a region: each row, the rows of other components, how far signatures agree."""
-    side = group["side"].to_numpy()
-    sig = np.stack([np.frombuffer(s, dtype="u4") for s in group["signature"]])
-    node, component = group["node"].to_numpy(), group["component"].to_numpy()
     right = np.flatnonzero(side != 0)
     for i in np.flatnonzero(side != 1):
         other = right[component[right] != component[i]]
         other = other[(side[other] != 2) | (node[other] > node[i])]
         if len(other):
-            yield i, other, (sig[other] == sig[i]).mean(axis=1)
+            yield i, other, np.count_nonzero(sig[other] == sig[i], axis=1) / sig.shape[1]
 
 
-def _best_across(group: pd.DataFrame) -> pd.DataFrame:
+def _best_across(node, component, side, sig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, agreement): each row's best partner of another component."""
-    node = group["node"].to_numpy()
-    best, partner = np.zeros(len(group)), np.full(len(group), -1)
-    for i, other, agree in _agreements(group):
+    best, partner = np.zeros(len(node)), np.full(len(node), -1)
+    for i, other, agree in _agreements(node, component, side, sig):
         k = agree.argmax()
         if agree[k] > best[i]:
             best[i], partner[i] = agree[k], other[k]
         better = agree > best[other]
         best[other[better]], partner[other[better]] = agree[better], i
     hit = best >= LEAST_AGREEMENT
-    return pd.DataFrame({"a": node[hit], "b": node[partner[hit]], "agreement": best[hit]})
+    return node[hit], node[partner[hit]], best[hit]
 
 
-def _all_across(group: pd.DataFrame) -> pd.DataFrame:
+def _all_across(node, component, side, sig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, agreement): all pairs of different components that agree enough."""
-    node = group["node"].to_numpy()
-    parts = [(np.full(len(other), i)[agree >= LEAST_AGREEMENT], other[agree >= LEAST_AGREEMENT]) for i, other, agree in _agreements(group)]
-    a = np.concatenate([x for x, _ in parts] or [np.zeros(0, dtype="i8")])
-    b = np.concatenate([y for _, y in parts] or [np.zeros(0, dtype="i8")])
-    return pd.DataFrame({"a": node[a], "b": node[b], "agreement": 1.0}).astype({"agreement": "f8"})
+    a, b, degree = [node[:0]], [node[:0]], [np.zeros(0)]
+    for i, other, agree in _agreements(node, component, side, sig):
+        hit = agree >= LEAST_AGREEMENT
+        a.append(np.full(hit.sum(), node[i]))
+        b.append(node[other[hit]])
+        degree.append(agree[hit])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(degree)
+
+
+def _by_group(pick):
+    """``pick`` on each run of rows with one (region, c0, c1); a run has two chunks of rows at most."""
+
+    def found(rows: pd.DataFrame, key: np.ndarray) -> pd.DataFrame:
+        node, component, side = (rows[c].to_numpy() for c in ("node", "component", "side"))
+        # A byte of each minimum: two that differ agree in it with odds of 1 in 256.
+        sig = np.frombuffer(b"".join(rows["signature"]), dtype="u4").astype("u1").reshape(len(rows), -1)
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+        ends = np.append(starts[1:], len(rows))
+        parts = [
+            pick(node[x:y], component[x:y], side[x:y], sig[x:y]) for x, y in zip(starts, ends, strict=True)
+        ]
+        return pd.DataFrame(
+            {name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("a", "b", "agreement"))}
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch])
+            key = rows[["region", "c0", "c1"]].to_numpy()
+            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            end = int(change[-1]) if len(change) else 0
+            if end:
+                yield found(rows.iloc[:end], key[:end])
+            rest = rows.iloc[end:]
+        if rest is not None and len(rest):
+            yield found(rest, rest[["region", "c0", "c1"]].to_numpy())
+
+    return run
 
 
 def _across(regions: DataFrame, nodes: DataFrame, labels: DataFrame, pick) -> DataFrame:
@@ -260,7 +290,10 @@ def _across(regions: DataFrame, nodes: DataFrame, labels: DataFrame, pick) -> Da
         F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     signed = dealt.join(nodes.select("node", "signature"), "node")
-    return signed.groupBy("region", "c0", "c1").applyInPandas(pick, "a long, b long, agreement double")
+    group = ["region", "c0", "c1"]
+    return (
+        signed.repartition(*group).sortWithinPartitions(*group).mapInPandas(_by_group(pick), "a long, b long, agreement double")
+    )
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -296,6 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     NULL id counts after all others: its row is kept only where its component has no
     id. An empty table gives an empty result; further columns are not looked at.
     """
+    prepare(docs.sparkSession)
     text = text_of(docs, text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     described = cut_lineage(

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import text_of
+from paraspark.llm.common import prepare, text_of
 
 SYMBOLS = 64
 END_MARK = 63
@@ -342,6 +342,7 @@ def train(labelled: DataFrame) -> Model:
     Rows without a label are left out. The sample is the documents of each class with
     the smallest hashes, ``TOXIC_DOCS`` and ``CLEAN_DOCS`` at most; with one class or none every score is its share.
     """
+    prepare(labelled.sparkSession)
     named = labelled.where(F.col("toxic").isin(0, 1)).select("doc", "toxic").distinct()
     picked = [
         named.where(F.col("toxic") == label).orderBy(F.xxhash64("doc"), "doc").limit(most)
@@ -398,6 +399,7 @@ def score_documents(
     A NULL or empty text has the score of a text without strings. Repeated rows each get
     theirs, an empty table gives an empty one; columns not named in ``keep`` are not looked at.
     """
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
