@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paraspark.llm import ann, bpe, fingerprints, license_scan, mixing, near_dedup, preferences, secret_scan, toxicity
+from paraspark.llm import ann, bpe, fingerprints, license_scan, mixing, near_dedup, preferences, secret_scan, substring_dedup, toxicity
 from paraspark.llm.common import read_table
 
 
@@ -41,6 +41,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_digest(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(mixing.mix_documents(read_table(spark, sf_dir, "documents")))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_nearest_neighbours,
         op5_bpe,
         op6_fingerprints,
+        op7_substring_dedup,
         op8_mixing,
         op9_near_dedup,
         op10_toxicity,
