@@ -253,5 +253,5 @@ def apply_mix(
         .withColumn("__times", whole + extra)
         .where(F.col("__times") > 0)
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*[docs.columns[i] for i in range(len(docs.columns))])
+        .select(*docs.columns)
     )

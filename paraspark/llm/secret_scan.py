@@ -234,3 +234,17 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, state, cut, rest)).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with secrets masked; a column ``n_chars`` follows the text, others are unchanged."""
+    row = docs.select(F.col(id_col), F.col(text_col), F.struct("*").alias("__row"))
+    scanned = scan_secrets(row, id_col, text_col, keep=("__row",))
+    text = F.col("__row")[text_col]
+    safe = scanned.select("__row", redact(text, F.col("spans"), mask).alias("__safe"))
+    out = {text_col: F.col("__safe")}
+    if "n_chars" in docs.columns:
+        changed = ~F.col("__safe").eqNullSafe(text)
+        length = F.length("__safe").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(changed, length).otherwise(F.col("__row")["n_chars"])
+    return safe.select(*[out.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
