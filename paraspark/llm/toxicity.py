@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import prepare, text_of
+from paraspark.llm.common import cut_lineage, prepare, text_of
 
 SYMBOLS = 64
 END_MARK = 63
@@ -336,21 +336,24 @@ def _telling(texts: list[str], evidence: np.ndarray) -> Iterator[tuple[int, list
         yield i, list(chosen)
 
 
-def train(labelled: DataFrame) -> Model:
-    """Model from labelled rows (doc, toxic, text).
+def train(labels: DataFrame, texts: DataFrame) -> Model:
+    """Model from (doc, toxic) and (doc, text).
 
-    Rows without a label are left out. The sample is the documents of each class with
-    the smallest hashes, ``TOXIC_DOCS`` and ``CLEAN_DOCS`` at most; with one class or none every score is its share.
+    Labels other than 0 and 1 are left out, and those without a text. The sample is the documents of each class with
+    the smallest hashes, ``TOXIC_DOCS`` and ``CLEAN_DOCS`` at most; with one class or none every
+    score is its share.
     """
-    prepare(labelled.sparkSession)
-    named = labelled.where(F.col("toxic").isin(0, 1)).select("doc", "toxic").distinct()
+    prepare(labels.sparkSession)
+    named = labels.where(F.col("toxic").isin(0, 1)).join(texts.select("doc").distinct(), "doc").distinct()
     picked = [
         named.where(F.col("toxic") == label).orderBy(F.xxhash64("doc"), "doc").limit(most)
         for label, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))
     ]
-    ids = picked[0].unionByName(picked[1])
     # A few thousand ids at most.
-    sample = labelled.join(F.broadcast(ids), ["doc", "toxic"], "left_semi").select("doc", "toxic", "text")
+    ids = cut_lineage(picked[0].unionByName(picked[1]))
+    sample = cut_lineage(
+        texts.join(F.broadcast(ids), "doc").select(F.col("doc").cast("string").alias("doc"), "toxic", "text")
+    )
     counted = (
         sample.mapInPandas(_counts, "code long, clean long, dirty long")
         .groupBy("code")
@@ -384,21 +387,15 @@ def held_out(doc: F.Column) -> F.Column:
 
 def train_on(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Model from the labels that may be learnt from and the texts they are about."""
-    known = labels.select(F.col(id_col).alias("__doc"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("toxic").isNotNull() & F.col("__doc").isNotNull() & ~held_out(F.col("__doc"))).distinct()
-    texts = documents.select(F.col(id_col).alias("__doc"), text_of(documents, text_col).alias("text"))
-    joined = texts.join(known, "__doc").select(F.col("__doc").cast("string").alias("doc"), "toxic", "text")
-    return train(joined)
-
+    doc = F.col(id_col)
+    known = labels.where(doc.isNotNull() & ~held_out(doc)).select(
+        doc.alias("doc"), F.col("toxic").cast("int").alias("toxic")
+    )
+    texts = documents.where(doc.isNotNull()).select(doc.alias("doc"), text_of(documents, text_col).alias("text"))
+    return train(known, texts)
 
-def score_documents(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """The id, ``held_out``, ``score`` (0 to 1) and ``predicted`` of every whole text.
 
-    A NULL or empty text has the score of a text without strings. Repeated rows each get
-    theirs, an empty table gives an empty one; columns not named in ``keep`` are not looked at.
-    """
+def _scorer(docs: DataFrame, model: Model):
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -407,6 +404,22 @@ def score_documents(
         for batch in batches:
             yield pd.Series(sent.value.scores(batch.tolist()))
 
+    return score
+
+
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, ``held_out``, ``score`` (0 to 1) and ``predicted`` of every whole text.
+
+    A NULL or empty text has the score of a text without strings. Repeated rows each get
+    theirs, an empty table gives an empty one; other columns are not looked at.
+    """
+    score = _scorer(docs, model)
     return docs.select(
-        F.col(id_col), *keep, held_out(F.col(id_col)).alias("held_out"), score(text_of(docs, text_col)).alias("score")
+        F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score(text_of(docs, text_col)).alias("score")
     ).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, columns unchanged."""
+    row = docs.select(F.struct("*").alias("row"), _scorer(docs, model)(text_of(docs, text_col)).alias("score"))
+    return row.where(F.col("score") < THRESHOLD).select("row.*")
