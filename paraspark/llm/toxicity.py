@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-Strings are the words of a sentence without what is no letter or digit in them, and runs of
+Strings are the words of a sentence without what is no letter in them, and runs of
 spaced single letters, between two end marks; accents and case are folded. The kernel of
 two strings is the inner product of their four-letter subsequences with up to
 ``MAX_GAP`` letters skipped at each step, each skipped letter weighing ``DECAY``, over the
@@ -57,15 +57,13 @@ _DROP = 255
 
 
 def _symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 blank, 1-26 letters, then digits and hashed other letters."""
+    """Symbol of each code point: 0 blank, 1-26 letters, from 37 on hashed other letters; the rest is dropped."""
     table = np.full(0x110000, _DROP, dtype="u1")
     for c in range(0x110000):
         ch = chr(c)
         if c < 128:
             if ch.isalpha():
                 table[c] = ord(ch.lower()) - 96
-            elif ch.isdigit():
-                table[c] = 27 + int(ch)
         elif c < 0x3000 or ch.isalpha():
             if ch.isalpha():
                 base = unicodedata.normalize("NFKD", ch)[0].lower()
@@ -317,7 +315,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"code": used, "clean": count[0, used], "dirty": count[1, used]})
 
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789" + "".join(map(chr, range(0x3B1, 0x3B1 + 26)))
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz" + 10 * " " + "".join(map(chr, range(0x3B1, 0x3B1 + 26)))
 
 
 def _telling(texts: list[str], evidence: np.ndarray) -> Iterator[tuple[int, list[str]]]:
