@@ -38,7 +38,7 @@ END_MARK = 63
 TABLE = 1 << 20
 ORDER = 4
 MAX_GAP = 1
-DECAY = 0.5
+DECAY = 0.8
 LANDMARKS = 256
 #: Bounds of the training sample: labelled documents of each class, strings of each.
 TOXIC_DOCS = 1200
