@@ -10,8 +10,9 @@
 3. Twice, every document of a region that holds several components is confirmed with the
    one of another component whose signature agrees most.
 4. Every region that still holds more than one component is searched in full: all its
-   pairs across components whose signatures agree enough are confirmed. A region is split
-   in chunks, and pairs of chunks go to tasks, so no region meets in one task.
+   pairs across components whose signatures agree enough are confirmed there, on sets that
+   come along. A region is split in chunks, and pairs of chunks go to tasks, so no region
+   meets in one task and only links leave it.
 
 At a similarity of 0.75 two texts share no region with a probability of 5e-6, and less
 above. All links within one component may be skipped, none across components.
@@ -96,6 +97,7 @@ def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "region": key.ravel().view("i8"),
+                    "tree": np.tile(np.arange(TREES, dtype="i4"), len(part)),
                     "deep1": deep[0].ravel().view("i8"),
                     "deep2": deep[1].ravel().view("i8"),
                     "node": np.repeat(part["node"].to_numpy(), TREES),
@@ -186,13 +188,18 @@ def _unpack(packed: bytes) -> np.ndarray:
     return full.view(">u8").ravel()
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have ``PERCENT`` of their union in common."""
+    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(np.count_nonzero(b[place] == a))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = []
         for x, y in zip(batch["x"], batch["y"], strict=True):
-            a, b = _unpack(x), _unpack(y)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            keep.append(_similar(_unpack(x), _unpack(y)))
         yield batch.loc[keep, ["a", "b"]]
 
 
@@ -227,15 +234,38 @@ def _best_across(node, component, side, sig) -> tuple[np.ndarray, np.ndarray, np
     return node[hit], node[partner[hit]], best[hit]
 
 
-def _all_across(node, component, side, sig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, agreement): all pairs of different components that agree enough."""
-    a, b, degree = [node[:0]], [node[:0]], [np.zeros(0)]
+def _links_across(node, component, side, sig, tree: int, packed: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(a, b, 1): pairs of different components whose full sets are similar enough.
+
+    A pair is looked at in the first tree that has it in one region. What links found here
+    join already is not confirmed again.
+    """
+    root = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+    links = []
     for i, other, agree in _agreements(node, component, side, sig):
-        hit = agree >= LEAST_AGREEMENT
-        a.append(np.full(hit.sum(), node[i]))
-        b.append(node[other[hit]])
-        degree.append(agree[hit])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(degree)
+        near = other[agree >= LEAST_AGREEMENT]
+        if not len(near):
+            continue
+        same = (sig[near] == sig[i]).reshape(len(near), TREES, DEPTH).all(axis=2)
+        for k in near[same.argmax(axis=1) == tree].tolist():
+            if top(component[i]) == top(component[k]):
+                continue
+            for j in (i, k):
+                if j not in sets:
+                    sets[j] = _unpack(packed[j])
+            if _similar(sets[i], sets[k]):
+                root[top(component[i])] = top(component[k])
+                links.append((node[i], node[k]))
+    found = np.array(links, dtype="i8").reshape(-1, 2)
+    return found[:, 0], found[:, 1], np.ones(len(found))
 
 
 def _by_group(pick):
@@ -243,12 +273,14 @@ def _by_group(pick):
 
     def found(rows: pd.DataFrame, key: np.ndarray) -> pd.DataFrame:
         node, component, side = (rows[c].to_numpy() for c in ("node", "component", "side"))
-        # A byte of each minimum: two that differ agree in it with odds of 1 in 256.
-        sig = np.frombuffer(b"".join(rows["signature"]), dtype="u4").astype("u1").reshape(len(rows), -1)
+        sig = np.frombuffer(b"".join(rows["signature"]), dtype="u4").reshape(len(rows), -1)
+        tree = rows["tree"].to_numpy()
+        packed = rows["packed"].tolist() if "packed" in rows else None
         starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
         ends = np.append(starts[1:], len(rows))
         parts = [
-            pick(node[x:y], component[x:y], side[x:y], sig[x:y]) for x, y in zip(starts, ends, strict=True)
+            pick(node[x:y], component[x:y], side[x:y], sig[x:y], *((tree[x], packed[x:y]) if packed else ()))
+            for x, y in zip(starts, ends, strict=True)
         ]
         return pd.DataFrame(
             {name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("a", "b", "agreement"))}
@@ -270,9 +302,12 @@ def _by_group(pick):
     return run
 
 
-def _across(regions: DataFrame, nodes: DataFrame, labels: DataFrame, pick) -> DataFrame:
-    """What ``pick`` gives for the pairs of chunks of each region with several components."""
-    placed = regions.select("region", "node").join(labels, "node")
+def _across(regions: DataFrame, facts: DataFrame, labels: DataFrame, pick) -> DataFrame:
+    """What ``pick`` gives for the pairs of chunks of each region with several components.
+
+    ``facts`` has what it needs to know of a node: its signature, for links its set as well.
+    """
+    placed = regions.select("region", "tree", "node").join(labels, "node")
     mixed = (
         placed.groupBy("region")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
@@ -283,13 +318,14 @@ def _across(regions: DataFrame, nodes: DataFrame, labels: DataFrame, pick) -> Da
     # A chunk meets itself (side 2) and every other chunk, the smaller one as side 0.
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "region",
+        "tree",
         "node",
         "component",
         F.least("chunk", "other").alias("c0"),
         F.greatest("chunk", "other").alias("c1"),
         F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    signed = dealt.join(nodes.select("node", "signature"), "node")
+    signed = dealt.join(facts, "node")
     group = ["region", "c0", "c1"]
     return (
         signed.repartition(*group).sortWithinPartitions(*group).mapInPandas(_by_group(pick), "a long, b long, agreement double")
@@ -345,7 +381,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.first("signature").alias("signature"),
         )
     )
-    regions = nodes.mapInPandas(_regions, "region long, deep1 long, deep2 long, node long")
+    regions = nodes.mapInPandas(_regions, "region long, tree int, deep1 long, deep2 long, node long")
     # Only regions of more than one node can give links.
     shared = (
         regions.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
@@ -367,14 +403,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     votes = forest_pairs(regions).groupBy("a", "b").agg(F.sum("depth").alias("votes"))
     nearest = votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+    signatures = nodes.select("node", "signature")
     labels = cut_lineage(regions.select("node", F.col("node").alias("component")).distinct())
     labels, more = _merged(labels, confirm_pairs(nearest, sets))
     for _ in range(ROUNDS if more else 0):
-        found = _across(regions, nodes, labels, _best_across)
+        found = _across(regions, signatures, labels, _best_across)
         best = found.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b"))
         labels, _ = _merged(labels, confirm_pairs(_ordered(best), sets))
-    rest = _ordered(_across(regions, nodes, labels, _all_across))
-    components, _ = _merged(labels, confirm_pairs(rest, sets))
+    rest = _across(regions, signatures.join(sets, "node"), labels, _links_across)
+    components, _ = _merged(labels, rest.select("a", "b"))
     placed = nodes.select("node", "low").join(components, "node", "left").select(
         "node", "low", F.coalesce("component", "node").alias("component")
     )
