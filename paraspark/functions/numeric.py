@@ -1,20 +1,25 @@
 """Null-safe numeric expressions.
 
 The engine keeps one missing value, NULL: source numbers pass ``number`` or
-``finite`` and every division is ``ratio``, so NaN never reaches an aggregate.
+``finite`` and every division is ``ratio``, so neither NaN nor an infinity reaches an aggregate.
 """
 
 from __future__ import annotations
 
 
+# Plain decimal notation; Spark's cast would also take suffixes and names such as 12.5d and Infinity.
+NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def finite(x: str) -> str:
-    """A double with NaN turned into NULL."""
-    return f"nanvl({x}, CAST(NULL AS DOUBLE))"
+    """A double with NaN and infinities turned into NULL."""
+    return f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END"
 
 
 def number(text: str) -> str:
-    """Text to double; ``#N/A`` and any other text that is no number give NULL."""
-    return finite(f"try_cast({text} AS DOUBLE)")
+    """Text to double; ``#N/A``, values out of range and any other text that is no number give NULL."""
+    value = f"try_cast({text} AS DOUBLE)"
+    return f"CASE WHEN trim({text}) RLIKE '{NUMBER}' AND abs({value}) < double('Infinity') THEN {value} END"
 
 
 def ratio(numerator: str, denominator: str) -> str:

@@ -14,7 +14,7 @@ from paraspark.schema import BATCH, BLANK, EXPORT_KEYS, SAMPLE_TYPES, AssayTable
 
 
 def _counts(df: DataFrame, check: str, keys: Sequence[str]) -> DataFrame:
-    parts = ", ".join(f"coalesce(CAST({k} AS STRING), '<null>')" for k in keys)
+    parts = ", ".join(f"coalesce(CAST({k} AS STRING), '<null>')" for k in keys) or "''"
     return aggregate(df, [BATCH, *keys], n="count(*)").selectExpr(
         f"'{check}' AS check_name", BATCH, f"concat_ws('|', {parts}) AS key", "n"
     )
@@ -34,6 +34,8 @@ def key_counts(tables: AssayTables, rows: DataFrame) -> DataFrame:
         _counts(tables.blank_map, "blank_map_sample", ["sample_name"]),
         _counts(blanks, "blanks_per_label", ["blank_label"]),
     ]
+    if tables.run_params is not None:
+        parts.append(_counts(tables.run_params, "run_params_batch", []))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,9 +1,8 @@
-"""Left joins to narrower tables, with checked broadcasts.
+"""Left joins to narrower tables.
 
-No join carries an unconditional broadcast hint. Catalyst broadcasts a table
-whose file size is below its threshold; a *computed* table is hinted only when
-a row bound has been counted. Past the bound the join shuffles on its keys,
-where adaptive execution splits hot keys of the large side.
+No join carries a broadcast hint. Catalyst broadcasts a table whose file size is
+below its threshold, adaptive execution a computed one whose real size turns out to be; any other join
+shuffles on its keys, where hot keys of the large side are split.
 """
 
 from __future__ import annotations
@@ -13,13 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
-
-
-def within(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
-
 
 def attach(
     left: DataFrame,
@@ -27,19 +19,12 @@ def attach(
     keys: Sequence[str],
     *,
     null_safe: Sequence[str] = (),
-    small: bool = False,
     how: str = "left",
 ) -> DataFrame:
-    """Join ``right``'s non-key columns to ``left``.
-
-    ``null_safe`` names the keys for which NULL matches NULL. ``small`` says
-    that a bound on the rows of ``right`` has been checked.
-    """
+    """Join ``right``'s non-key columns to ``left``; NULL matches NULL for ``null_safe`` keys."""
     side = right
     if null_safe:
         side = side.withColumnsRenamed({k: f"__{k}" for k in keys})
-    if small:
-        side = F.broadcast(side)
     if not null_safe:
         return left.join(side, list(keys), how)
     condition = " AND ".join(f"{k} {'<=>' if k in null_safe else '='} __{k}" for k in keys)

@@ -23,14 +23,13 @@ def quantify_chains(
     chain_calibration: DataFrame,
     params: AssayParams,
     variants: Sequence[str] = VARIANTS,
-    small: bool = False,
 ) -> DataFrame:
     """Response factor at the sample's Cl% and the resulting concentration.
 
     ``summary`` holds the samples to quantify, without calibration. Cl% is pulled into the calibrated range and the factor is floored. A chain
     without calibration has no factor and no concentration.
     """
-    results = attach(summary, chain_calibration, [BATCH, "chain_length"], small=small)
+    results = attach(summary, chain_calibration, [BATCH, "chain_length"])
     contents, factors, concentrations = [], [], []
     for v in variants:
         content = clamp(f"chain_cl_degree{v}", "min_cl_degree", "max_cl_degree")

@@ -12,9 +12,6 @@ from paraspark.functions.numeric import ratio
 from paraspark.operators.joins import aggregate, attach
 from paraspark.schema import BATCH, AssayParams
 
-# Names up to this number become a literal list, more become a semi-join.
-MAX_LITERAL_NAMES = 1000
-
 
 def sample_list(rows: DataFrame) -> DataFrame:
     """Distinct sample names per batch."""
@@ -31,18 +28,17 @@ def first_samples(names: DataFrame, k: int) -> DataFrame:
     return names.selectExpr("*", rank).filter(f"position <= {int(k)}").drop("position")
 
 
-def select_samples(rows: DataFrame, samples: Sequence[str] | DataFrame | None, small: bool = False) -> DataFrame:
-    """Rows of the chosen samples: names, a (batch, name) table, or all named ones."""
+def select_samples(rows: DataFrame, samples: Sequence[str] | DataFrame | None) -> DataFrame:
+    """Rows of the chosen samples: names, a (batch, name) table, or all named ones.
+
+    Names are a literal filter, whatever their number; a large selection is a table.
+    """
     if samples is None:
         return rows.filter("sample_name IS NOT NULL")
     if isinstance(samples, DataFrame):
         chosen = samples.select(*[c for c in (BATCH, "sample_name") if c in samples.columns])
-        return rows.join(F.broadcast(chosen) if small else chosen, chosen.columns, "left_semi")
-    names = list(samples)
-    if len(names) > MAX_LITERAL_NAMES:
-        table = rows.sparkSession.createDataFrame([(n,) for n in names], "sample_name string")
-        return rows.join(table, ["sample_name"], "left_semi")
-    return rows.filter(F.col("sample_name").isin(*names))
+        return rows.join(chosen, chosen.columns, "left_semi")
+    return rows.filter(F.col("sample_name").isin(*samples))
 
 
 def istd_points(rows: DataFrame) -> DataFrame:
@@ -71,9 +67,9 @@ def istd_limits(points: DataFrame) -> DataFrame:
     )
 
 
-def istd_chart(points: DataFrame, limits: DataFrame, small: bool = False) -> DataFrame:
+def istd_chart(points: DataFrame, limits: DataFrame) -> DataFrame:
     """Control chart: every point with the limits of its batch."""
-    return attach(points, limits, [BATCH], small=small)
+    return attach(points, limits, [BATCH])
 
 
 def response_vs_level(points: DataFrame, fits: DataFrame) -> DataFrame:
@@ -86,7 +82,7 @@ def response_vs_level(points: DataFrame, fits: DataFrame) -> DataFrame:
     )
 
 
-def factor_vs_content(fits: DataFrame, chain_calibration: DataFrame, small: bool = False) -> DataFrame:
+def factor_vs_content(fits: DataFrame, chain_calibration: DataFrame) -> DataFrame:
     """Response factors over Cl% with the line of their chain."""
     lines = chain_calibration.selectExpr(
         BATCH,
@@ -98,14 +94,13 @@ def factor_vs_content(fits: DataFrame, chain_calibration: DataFrame, small: bool
     factors = fits.selectExpr(
         BATCH, "chain_length", "calibration_type", "cl_degree", "slope AS response_factor"
     )
-    return attach(factors, lines, [BATCH, "chain_length"], small=small)
+    return attach(factors, lines, [BATCH, "chain_length"])
 
 
 def calibration_report(
-    points: DataFrame, factors: DataFrame, params: AssayParams, chain: int | None = None
+    points: DataFrame, factors: DataFrame, chains: Sequence[int] | None = None
 ) -> DataFrame:
-    """Both calibration panels in one table keyed by chain."""
-    chains = [chain] if chain is not None else list(params.report_chains)
+    """Both calibration panels in one table keyed by chain, for the given chains or all calibrated ones."""
     level = points.selectExpr(
         BATCH,
         "chain_length",
@@ -128,7 +123,8 @@ def calibration_report(
         "fit_slope",
         "fit_r_squared",
     )
-    return level.unionByName(content).filter(F.col("chain_length").isin(chains))
+    panels = level.unionByName(content)
+    return panels if chains is None else panels.filter(F.col("chain_length").isin(*chains))
 
 
 def class_bars(class_rows: DataFrame, variant: str = "") -> DataFrame:
@@ -147,7 +143,7 @@ def _profile_rows(rows: DataFrame, variant: str, params: AssayParams) -> DataFra
     )
 
 
-def profile_relative(rows: DataFrame, variant: str, params: AssayParams, small: bool = False) -> DataFrame:
+def profile_relative(rows: DataFrame, variant: str, params: AssayParams) -> DataFrame:
     """Share of each homologue in its batch's selection and in its chain there.
 
     Both totals run over all selected samples. They are grouped first and
@@ -157,7 +153,7 @@ def profile_relative(rows: DataFrame, variant: str, params: AssayParams, small:
     totals = aggregate(chosen, [BATCH, "chain_length"], chain_sum="sum(value)").selectExpr(
         "*", f"sum(chain_sum) OVER (PARTITION BY {BATCH}) AS batch_sum"
     )
-    joined = attach(chosen, totals, [BATCH, "chain_length"], null_safe=["chain_length"], small=small)
+    joined = attach(chosen, totals, [BATCH, "chain_length"], null_safe=["chain_length"])
     return joined.selectExpr(
         BATCH,
         "sample_name",

@@ -2,8 +2,8 @@
 
 A wide sheet can only hold so many columns. For any number of samples the
 engine writes numbered sheets of fixed width; a layout table names the sample
-behind each (sheet, slot). One batch of ordinary size can also be laid out on
-a single sheet with the sample names as column names.
+behind each (sheet, slot). Samples that the caller names can also be laid out on
+a single sheet with their names as column names.
 """
 
 from __future__ import annotations
@@ -16,55 +16,67 @@ from pyspark.sql import functions as F
 from paraspark.functions.chemistry import quoted
 from paraspark.operators.joins import aggregate, attach
 from paraspark.schema import BATCH
-from paraspark.session import checkpoint_dir
 
 SHEET_WIDTH = 24
+# A sheet's slots are checked with one bit each of a long.
 MAX_SHEET_WIDTH = 63
-MAX_NAMED_COLUMNS = 10_000
-# monotonically_increasing_id keeps the row number in its lower 33 bits.
-_ROW_BITS = 33
+# Names drawn for each split point.
+_DRAWN = 8
 
 
 def slot_names(width: int = SHEET_WIDTH) -> list[str]:
     return [f"s{i:02d}" for i in range(width)]
 
 
-def sheet_layout(samples: DataFrame, group: Sequence[str], width: int = SHEET_WIDTH) -> DataFrame:
+def split_points(samples: DataFrame, group: Sequence[str]) -> list[tuple]:
+    """Sorted (group, name) values that cut the samples into about as many runs as there are
+    shuffle partitions. They only balance work; the driver gets a fixed number of names."""
+    order = [*group, "sample_name"]
+    runs = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = (
+        samples.select(*order)
+        .where(" AND ".join(f"{c} IS NOT NULL" for c in order))
+        .distinct()
+        .orderBy(F.xxhash64(*order), *order)
+        .limit(runs * _DRAWN)
+        .collect()
+    )
+    return sorted(map(tuple, drawn))[_DRAWN::_DRAWN]
+
+
+def sheet_layout(
+    samples: DataFrame, group: Sequence[str], width: int = SHEET_WIDTH, points: Sequence[tuple] = ()
+) -> DataFrame:
     """Give every sample of a group its sheet and slot, in name order.
 
-    Ranks are exact and no group is sorted in one task: rows are ordered by a
-    range partitioning, numbered inside their partition, and shifted by the
-    sizes of the partitions before. The numbered rows are checkpointed because
-    the counts and the rows have to see the same partitions.
+    Ranks are exact whatever the ``points``: names are numbered within the run
+    between two of them, and shifted by the sizes of the group's earlier runs. So no
+    group is sorted in one task, and nothing has to be kept between jobs.
     """
     if not 1 <= width <= MAX_SHEET_WIDTH:
         raise ValueError(f"sheet width must lie in 1..{MAX_SHEET_WIDTH}")
-    checkpoint_dir(samples.sparkSession)
     order = [*group, "sample_name"]
-    numbered = (
-        samples.select(*order)
-        .distinct()
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .selectExpr("*", "monotonically_increasing_id() AS row_id")
-        .checkpoint()
-        .selectExpr(
-            *order,
-            f"shiftright(row_id, {_ROW_BITS}) AS part",
-            f"row_id & {(1 << _ROW_BITS) - 1}L AS row_in_part",
-        )
-    )
-    # One row per shuffle partition, so this table is small by construction.
-    starts = aggregate(numbered, ["part"], n="count(*)").selectExpr(
-        "part",
-        "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
+    key = F.struct(*order)
+    run = F.lit(0)
+    if points:
+        kinds = [samples.schema[c].dataType for c in order]
+        literals = [
+            F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(point, kinds, order, strict=True)]) for point in points
+        ]
+        run = F.size(F.filter(F.array(*literals), lambda x: x <= key))
+    placed = samples.select(*order).distinct().withColumn("run", run)
+    runs = [*group, "run"]
+    keys = ", ".join(runs)
+    numbered = placed.selectExpr("*", f"row_number() OVER (PARTITION BY {keys} ORDER BY sample_name) - 1 AS place")
+    by_group = f"PARTITION BY {', '.join(group)} " if group else ""
+    starts = aggregate(placed, runs, n="count(*)").selectExpr(
+        *runs,
+        f"coalesce(sum(n) OVER ({by_group}ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
     )
-    ranked = numbered.join(F.broadcast(starts), "part").selectExpr(*order, "start + row_in_part AS rank")
-    first = aggregate(ranked, group, first_rank="min(rank)")
-    return attach(ranked, first, group).selectExpr(
+    return attach(numbered, starts, runs).selectExpr(
         *order,
-        f"CAST((rank - first_rank) DIV {width} AS INT) AS sheet",
-        f"CAST((rank - first_rank) % {width} AS INT) AS slot",
+        f"CAST((start + place) DIV {width} AS INT) AS sheet",
+        f"CAST((start + place) % {width} AS INT) AS slot",
     )
 
 
@@ -95,21 +107,16 @@ def to_sheets(rows: DataFrame, keys: Sequence[str], value: str, width: int = SHE
 
 
 def to_named_sheet(rows: DataFrame, keys: Sequence[str], value: str, names: Sequence[str]) -> DataFrame:
-    """Long to wide with sample names as columns, for the samples of one batch."""
-    if len(names) > MAX_NAMED_COLUMNS:
-        raise ValueError(f"{len(names)} samples do not fit on one sheet; use to_sheets")
-    once = aggregate(rows, [*keys, "sample_name"], cell=f"max({value})", cells="count(*)")
+    """Long to wide with the given sample names as columns, for the samples of one batch."""
+    chosen = rows.filter(F.col("sample_name").isin(*names))
+    once = aggregate(chosen, [*keys, "sample_name"], cell=f"max({value})", cells="count(*)")
     checked = once.selectExpr(*keys, "sample_name", f"{_single('cells > 1', 'cell', value)} AS cell")
     return checked.groupBy(*keys).pivot("sample_name", list(names)).agg(F.first("cell"))
 
 
-def sheet_names(layout: DataFrame, batch_id: int, sample_type: str | None = None) -> list[str]:
-    """Sample names of one batch in column order; fails beyond one sheet's size."""
-    chosen = layout.filter(F.col(BATCH) == batch_id)
+def sheet_names(layout: DataFrame, batch_id: int, sheet: int = 0, sample_type: str | None = None) -> list[str]:
+    """Sample names of one sheet in column order: as many as a sheet is wide at most."""
+    chosen = layout.filter((F.col(BATCH) == batch_id) & (F.col("sheet") == sheet))
     if sample_type is not None:
         chosen = chosen.filter(F.col("sample_type") == sample_type)
-    names = chosen.select("sample_name").distinct().orderBy("sample_name")
-    found = names.limit(MAX_NAMED_COLUMNS + 1).collect()
-    if len(found) > MAX_NAMED_COLUMNS:
-        raise ValueError(f"batch {batch_id} has more samples than fit on one sheet; use to_sheets")
-    return [r["sample_name"] for r in found]
+    return [r["sample_name"] for r in chosen.select("sample_name", "slot").orderBy("slot").collect()]

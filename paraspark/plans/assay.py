@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paraspark.operators import blanks, calibration, contracts, distribution, identify, quantify, views, wide
-from paraspark.operators.joins import MAX_BROADCAST_ROWS, attach, within
-from paraspark.schema import BATCH, CALIBRATION, EXPORT_KEYS, VARIANTS, AssayParams, AssayTables
+from paraspark.operators.joins import attach
+from paraspark.schema import BATCH, CALIBRATION, EXPORT_KEYS, SAMPLE_TYPES, VARIANTS, AssayParams, AssayTables
 from paraspark.session import tune
 
 
@@ -33,15 +34,6 @@ class Assay:
 
     # identification
 
-    @cached_property
-    def small_batches(self) -> bool:
-        """Whether per-batch and per-(batch, chain) tables may be broadcast.
-
-        Either has at most one row per mass-list entry, so the count of that
-        source bounds them without running the pipeline.
-        """
-        return within(self.tables.mass_list)
-
     @cached_property
     def targets(self) -> DataFrame:
         return identify.prepare_targets(self.tables.mass_list, self.params, self.tables.run_params)
@@ -159,7 +151,6 @@ class Assay:
             self.chain_calibration,
             self.params,
             VARIANTS if bs else [""],
-            small=self.small_batches,
         )
 
     def class_results(self, bs: bool = True) -> DataFrame:
@@ -174,15 +165,21 @@ class Assay:
 
     @cached_property
     def type_layout(self) -> DataFrame:
-        """Sheets of the exports: one run of sheets per batch and sample type."""
-        named = self.tables.sequence.filter("sample_type IS NOT NULL")
-        return wide.sheet_layout(named, [BATCH, "sample_type"], self.sheet_width)
+        """Sheets of the exports: one run of sheets per batch and sample type.
+
+        Only samples with identified rows have a slot.
+        """
+        seen = self.matched.filter("retention_time IS NOT NULL").select(BATCH, "replicate").distinct()
+        named = self.tables.sequence.filter(F.col("sample_type").isin(*SAMPLE_TYPES))
+        group = [BATCH, "sample_type"]
+        points = wide.split_points(named, group)
+        return wide.sheet_layout(named.join(seen, [BATCH, "replicate"], "left_semi"), group, self.sheet_width, points)
 
     @cached_property
     def report_layout(self) -> DataFrame:
-        """Sheets of the report: one run of sheets per batch."""
-        named = self.tables.sequence.filter(f"sample_type != '{CALIBRATION}'")
-        return wide.sheet_layout(named, [BATCH], self.sheet_width)
+        """Sheets of the report: one run of sheets per batch, for samples with results."""
+        points = wide.split_points(self.tables.sequence.filter(f"sample_type != '{CALIBRATION}'"), [BATCH])
+        return wide.sheet_layout(self.sample_list(), [BATCH], self.sheet_width, points)
 
     def _placed(self, injections: DataFrame) -> DataFrame:
         """Injections with the sheet and slot of their sample, which so reach
@@ -221,17 +218,14 @@ class Assay:
         return views.istd_limits(self.istd_points)
 
     def istd_chart(self) -> DataFrame:
-        return views.istd_chart(self.istd_points, self.istd_limits, self.small_batches)
+        return views.istd_chart(self.istd_points, self.istd_limits)
 
     def sample_list(self) -> DataFrame:
         return views.sample_list(quantify.quantifiable(self.plain_summary))
 
     def _selected(self, results: DataFrame, samples: Sequence[str] | DataFrame | int | None) -> DataFrame:
         if isinstance(samples, int):
-            chosen = views.first_samples(self.sample_list(), samples)
-            # At most `samples` rows per batch, and a batch has a mass list.
-            small = within(self.tables.mass_list, MAX_BROADCAST_ROWS // max(samples, 1))
-            return views.select_samples(results, chosen, small)
+            samples = views.first_samples(self.sample_list(), samples)
         return views.select_samples(results, samples)
 
     def class_bars(self, bs: bool, samples: Sequence[str] | DataFrame | int | None = 6) -> DataFrame:
@@ -247,14 +241,15 @@ class Assay:
         return views.response_vs_level(self.calibration_points, self.mixture_fits)
 
     def factor_vs_content(self) -> DataFrame:
-        return views.factor_vs_content(self.mixture_fits, self.chain_calibration, self.small_batches)
+        return views.factor_vs_content(self.mixture_fits, self.chain_calibration)
 
-    def calibration_report(self, chain: int | None = None) -> DataFrame:
-        return views.calibration_report(self.response_vs_level(), self.factor_vs_content(), self.params, chain)
+    def calibration_report(self, chains: Sequence[int] | None = None) -> DataFrame:
+        """Both panels of the given chains, or of every calibrated one."""
+        return views.calibration_report(self.response_vs_level(), self.factor_vs_content(), chains)
 
     def profile_relative(self, bs: bool, samples: Sequence[str] | DataFrame | None = None) -> DataFrame:
         rows = views.select_samples(self.variant_rows(bs), samples)
-        return views.profile_relative(rows, _variant(bs), self.params, self.small_batches)
+        return views.profile_relative(rows, _variant(bs), self.params)
 
     def profile_absolute(self, bs: bool, samples: Sequence[str] | DataFrame | None = None) -> DataFrame:
         rows = views.select_samples(self.variant_rows(bs), samples)

@@ -182,10 +182,10 @@ report AS (
 )"""
 
 
-def _layout(group: str, condition: str) -> str:
+def _layout(group: str, source: str) -> str:
     return f""",
 ranked AS (
-  SELECT DISTINCT batch_id, {group} sample_name FROM injections WHERE {condition}
+  SELECT DISTINCT batch_id, {group} sample_name FROM {source}
 ),
 positions AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY {group} batch_id ORDER BY sample_name) - 1 AS pos FROM ranked
@@ -196,8 +196,8 @@ layout AS (
 )"""
 
 
-_TYPE_LAYOUT = _layout("sample_type,", "TRUE")
-_REPORT_LAYOUT = _layout("", "sample_type <> 'Calibration'")
+_TYPE_LAYOUT = _layout("sample_type,", "rows_")
+_REPORT_LAYOUT = _layout("", "results")
 
 _THROUGH_BLANKS = _INPUT + _BLANKS
 _THROUGH_SUBTRACTED = _THROUGH_BLANKS + _SUBTRACTED.format(passthrough="")
@@ -257,7 +257,7 @@ def _report_wide(value: str, width: int = SHEET_WIDTH) -> str:
     )
 
 
-def _profile(v: str) -> str:
+def _profile(v: str, where: str = "TRUE") -> str:
     value = f"COALESCE(ratio{v}, 0)"
     batch_share = f"{value} / NULLIF(SUM({value}) OVER (PARTITION BY batch_id), 0) * 100"
     chain_share = f"{value} / NULLIF(SUM({value}) OVER (PARTITION BY batch_id, chain_length), 0) * 100"
@@ -265,16 +265,16 @@ def _profile(v: str) -> str:
         _THROUGH_SUBTRACTED,
         f"SELECT batch_id, sample_name, 'C' || chain_length AS facet, chain_length, cl_no,"
         f" {_round(batch_share)} AS profile_total, {_round(chain_share)} AS profile_chain"
-        f" FROM subtracted WHERE row_identity <> '000_ISTD' AND cl_no BETWEEN 4 AND 12",
+        f" FROM subtracted WHERE row_identity <> '000_ISTD' AND cl_no BETWEEN 4 AND 12 AND {where}",
     )
 
 
-def _absolute(v: str) -> str:
+def _absolute(v: str, where: str = "TRUE") -> str:
     return _sql(
         _THROUGH_SUBTRACTED,
         f"SELECT batch_id, sample_name, 'C' || chain_length AS facet, chain_length, cl_no,"
         f" {_round(f'COALESCE(ratio{v}, 0)')} AS value"
-        f" FROM subtracted WHERE row_identity <> '000_ISTD' AND cl_no BETWEEN 4 AND 12",
+        f" FROM subtracted WHERE row_identity <> '000_ISTD' AND cl_no BETWEEN 4 AND 12 AND {where}",
     )
 
 
@@ -354,6 +354,25 @@ key_counts AS (
 )"""
 
 
+_NAMED = "sample_name IN ('S1', 'S7', 'S8')"
+
+
+def _calibration_report(where: str) -> str:
+    return _sql(
+        _THROUGH_CALIBRATION,
+        "SELECT batch_id, chain_length, 'response_vs_level' AS panel, calibration_type, "
+        + _r("x=calibration_level", "y=chain_total", "fit_intercept=0.0e0", "fit_slope=slope", "fit_r_squared=r_squared")
+        + " FROM points JOIN lines USING (batch_id, calibration_type, chain_length)"
+        f" WHERE {where} UNION ALL"
+        " SELECT m.batch_id, m.chain_length, 'factor_vs_content', m.calibration_type, "
+        + _r(
+            "x=m.cl_degree", "y=m.slope", "fit_intercept=k.intercept", "fit_slope=k.slope",
+            "fit_r_squared=k.r_squared",
+        )
+        + f" FROM mix m JOIN chain_cal k USING (batch_id, chain_length) WHERE {where.replace('chain_length', 'm.chain_length')}",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "identified_peaks": _sql(
@@ -419,19 +438,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT batch_id, chain_length,"
             f" {_r('min_cl_degree', 'max_cl_degree', 'intercept', 'slope', 'r_squared')} FROM chain_cal",
         ),
-        "calibration_report": _sql(
-            _THROUGH_CALIBRATION,
-            "SELECT batch_id, chain_length, 'response_vs_level' AS panel, calibration_type, "
-            + _r("x=calibration_level", "y=chain_total", "fit_intercept=0.0e0", "fit_slope=slope", "fit_r_squared=r_squared")
-            + " FROM points JOIN lines USING (batch_id, calibration_type, chain_length)"
-            " WHERE chain_length BETWEEN 10 AND 17 UNION ALL"
-            " SELECT m.batch_id, m.chain_length, 'factor_vs_content', m.calibration_type, "
-            + _r(
-                "x=m.cl_degree", "y=m.slope", "fit_intercept=k.intercept", "fit_slope=k.slope",
-                "fit_r_squared=k.r_squared",
-            )
-            + " FROM mix m JOIN chain_cal k USING (batch_id, chain_length) WHERE m.chain_length BETWEEN 10 AND 17",
-        ),
+        "calibration_report": _calibration_report("chain_length BETWEEN 10 AND 17"),
+        "calibration_report_all": _calibration_report("TRUE"),
+        "calibration_page": _calibration_report("chain_length = 12"),
         "class_windows": _sql(
             _THROUGH_RESULTS,
             f"SELECT batch_id, sample_name, chain_length, cp_type, {_r('conc', 'conc_bs')},"
@@ -485,8 +494,10 @@ def oracle_sql() -> dict[str, str]:
             " WHERE m > 12 GROUP BY batch_id, formula, mz",
         ),
     }
+    sql["profile_absolute_named"] = _absolute("", _NAMED)
     for v in ("", "_bs"):
         sql |= {
+            f"profile_named{v}": _profile(v, _NAMED),
             f"chain_totals{v}": _chain_measure(f"chain_total{v}"),
             f"cl_degree{v}": _chain_measure(f"chain_cl_degree{v}"),
             f"relative_distribution{v}": _shares(v),

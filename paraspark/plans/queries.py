@@ -72,6 +72,9 @@ HOMOLOGUE_COLUMNS = (
     "share_pct", "share_pct_bs", "cl_degree", "chain_cl_degree", "chain_cl_degree_bs",
 )
 
+# Fixed value: the chains of the usual calibration report.
+REPORT_CHAINS = range(10, 18)
+NAMED = ("S1", "S7", "S8")
 PASSTHROUGH = AssayParams(unassigned_blank="passthrough")
 
 _ON_ASSAY: dict[str, Callable[[Assay], DataFrame]] = {
@@ -96,7 +99,9 @@ _ON_ASSAY: dict[str, Callable[[Assay], DataFrame]] = {
     "mixture_points": lambda a: a.mixture_fits,
     "factor_vs_content": lambda a: a.factor_vs_content(),
     "chain_calibration": lambda a: a.chain_calibration,
-    "calibration_report": lambda a: a.calibration_report(),
+    "calibration_report": lambda a: a.calibration_report(REPORT_CHAINS),
+    "calibration_report_all": lambda a: a.calibration_report(),
+    "calibration_page": lambda a: a.calibration_report([12]),
     "concentration_chain": lambda a: _chain(a, False),
     "concentration_chain_bs": lambda a: _chain(a, True),
     "concentration_class": lambda a: _class(a, False),
@@ -122,6 +127,9 @@ _ON_ASSAY: dict[str, Callable[[Assay], DataFrame]] = {
     "profile_relative_bs": lambda a: a.profile_relative(True),
     "profile_absolute": lambda a: a.profile_absolute(False),
     "profile_absolute_bs": lambda a: a.profile_absolute(True),
+    "profile_named": lambda a: a.profile_relative(False, NAMED),
+    "profile_named_bs": lambda a: a.profile_relative(True, NAMED),
+    "profile_absolute_named": lambda a: a.profile_absolute(False, NAMED),
     "sample_list": lambda a: a.sample_list(),
     "class_bars": lambda a: a.class_bars(False),
     "class_bars_bs": lambda a: a.class_bars(True),

@@ -80,7 +80,6 @@ class AssayParams:
     formula_mode: str = "element"
     unassigned_blank: str = "null"
     response_floor: float = 1.0
-    report_chains: tuple[int, ...] = tuple(range(10, 18))
 
     def __post_init__(self) -> None:
         if self.unassigned_blank not in ("null", "passthrough"):

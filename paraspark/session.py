@@ -1,9 +1,7 @@
-"""Session settings the plans rely on, and the shared checkpoint folder."""
+"""Session settings the plans rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Hot keys in the large joins are split at run time by adaptive skew handling;
@@ -17,25 +15,9 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``RUNTIME_CONF`` where the application has not decided otherwise."""
-    decided = spark.sparkContext.getConf()
+    """Apply ``RUNTIME_CONF`` where neither the application nor the session has decided otherwise."""
+    started, current = spark.sparkContext.getConf(), spark._jsparkSession.sessionState().conf().settings()
     for key, value in RUNTIME_CONF.items():
-        if not decided.contains(key):
+        if not started.contains(key) and not current.containsKey(key):
             spark.conf.set(key, value)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only when none is set (local runs, tests) a temporary one is made.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="paraspark-checkpoint-"))
-    return context.getCheckpointDir()

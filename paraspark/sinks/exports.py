@@ -9,7 +9,7 @@ values are empty cells in CSV and NULL in Parquet.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,25 +66,42 @@ def export_calibration(assay: Assay, folder: str, fmt: str = "parquet") -> None:
     write_table(assay.calibration_report(), f"{folder}/calibration_report", fmt, ["chain_length"])
 
 
-def named_report(assay: Assay, batch_id: int, bs: bool = True) -> DataFrame:
-    """Concentration report of one batch with sample names as columns."""
-    names = wide.sheet_names(assay.report_layout, batch_id)
+def named_report(assay: Assay, batch_id: int, names: Sequence[str], bs: bool = True) -> DataFrame:
+    """Concentration report of one batch with the given sample names as columns."""
     rows = assay.report(bs).filter(F.col(BATCH) == batch_id)
     return wide.to_named_sheet(rows, ["label"], "amount", names).orderBy("label")
 
 
-def named_export(assay: Assay, batch_id: int, sample_type: str, value: str = "peak_area") -> DataFrame:
-    """Sheet of one batch and sample type: ``peak_area``, ``ratio`` or ``ratio_bs``."""
+def named_export(
+    assay: Assay, batch_id: int, sample_type: str, names: Sequence[str], value: str = "peak_area"
+) -> DataFrame:
+    """Sheet of the named samples of one batch and type: ``peak_area``, ``ratio`` or ``ratio_bs``."""
     rows = assay.typed_rows if value == "peak_area" else assay.variant_rows(value == "ratio_bs")
     rows = identify.of_type(rows.filter(F.col(BATCH) == batch_id), sample_type)
-    names = wide.sheet_names(assay.type_layout, batch_id, sample_type)
     return wide.to_named_sheet(rows, list(EXPORT_KEYS), value, names).orderBy("row_identity")
 
 
-def named_exports(assay: Assay, batch_id: int, folder: str, value: str = "peak_area", fmt: str = "csv") -> list[str]:
-    """Write the sheets of one batch; returns the sample types that had rows."""
+def named_exports(
+    assay: Assay,
+    batch_id: int,
+    names: Mapping[str, Sequence[str]],
+    folder: str,
+    value: str = "peak_area",
+    fmt: str = "csv",
+) -> list[str]:
+    """Write a sheet of one batch for each sample type in ``names`` that has rows; returns those types."""
     present = assay.sample_types_present().filter(F.col(BATCH) == batch_id).first()
-    written = [t for t in SAMPLE_TYPES if present is not None and present[f"has_{t.lower()}"]]
+    written = [t for t in SAMPLE_TYPES if names.get(t) and present is not None and present[f"has_{t.lower()}"]]
     for sample_type in written:
-        write_table(named_export(assay, batch_id, sample_type, value), f"{folder}/{value}/{sample_type}", fmt)
+        sheet = named_export(assay, batch_id, sample_type, names[sample_type], value)
+        write_table(sheet, f"{folder}/{value}/{sample_type}", fmt)
     return written
+
+
+def export_all(assay: Assay, folder: str, fmt: str = "parquet") -> None:
+    """Every export and report of an assay, each in its own folder."""
+    export_raw(assay, folder, fmt)
+    for bs in (True, False):
+        export_normalized(assay, folder, bs, fmt)
+        export_concentrations(assay, folder, bs, fmt)
+    export_calibration(assay, folder, fmt)

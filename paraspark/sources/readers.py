@@ -109,8 +109,10 @@ def read_run_params(spark: SparkSession, path, fmt: str = "csv", batch_id: int |
     return _read(spark, path, S.RUN_PARAMS, fmt, batch_id)
 
 
-def read_assay(spark: SparkSession, folder: str, fmt: str = "csv", batch_id: int | None = None) -> S.AssayTables:
-    """All tables of an assay from ``folder/<table>``."""
+def read_assay(
+    spark: SparkSession, folder: str, fmt: str = "csv", batch_id: int | None = None, run_params: bool = False
+) -> S.AssayTables:
+    """All tables of an assay from ``folder/<table>``; ``run_params`` says that there is one of that name, too."""
     def at(name: str) -> str:
         return f"{folder.rstrip('/')}/{name}"
 
@@ -120,6 +122,7 @@ def read_assay(spark: SparkSession, folder: str, fmt: str = "csv", batch_id: int
         mass_list=read_mass_list(spark, at("mass_list"), fmt, batch_id),
         calibration=read_calibration(spark, at("calibration"), fmt, batch_id),
         blank_map=read_blank_map(spark, at("blank_map"), fmt, batch_id),
+        run_params=read_run_params(spark, at("run_params"), fmt, batch_id) if run_params else None,
     )
 
 

@@ -13,7 +13,9 @@ def store_peaks(peaks: DataFrame, table: str, buckets: int) -> None:
     The standard's area and the join to injections both work per injection, so
     neither shuffles the peaks of a table stored like this.
     """
-    peaks.write.bucketBy(buckets, BATCH, "replicate").sortBy(BATCH, "replicate").saveAsTable(table)
+    # Dealt by injection first, so each bucket is one file and not one for each task.
+    dealt = peaks.repartition(buckets, BATCH, "replicate")
+    dealt.write.bucketBy(buckets, BATCH, "replicate").sortBy(BATCH, "replicate").saveAsTable(table)
 
 
 def stored_peaks(spark: SparkSession, table: str) -> DataFrame:

@@ -23,6 +23,14 @@ def test_mz_key_rounds_half_to_even(spark):
 def test_area_text(spark):
     got = evaluate(spark, "x string", ["#N/A", "", "1e5", " 12.5 ", "abc", "NaN", None], num.number("x"))
     assert [v for (v,) in got] == [None, None, 1e5, 12.5, None, None, None]
+    odd = ["Infinity", "-inf", "inf", "1e999", "12.5d", "3f", "0x10", "1_000", "-.5", "+2.", "1E-3", "."]
+    got = evaluate(spark, "x string", odd, num.number("x"))
+    assert [v for (v,) in got] == [None] * 8 + [-0.5, 2.0, 1e-3, None]
+
+
+def test_finite(spark):
+    values = [1.5, float("nan"), float("inf"), float("-inf"), None, -0.0]
+    assert [v for (v,) in evaluate(spark, "x double", values, num.finite("x"))] == [1.5, None, None, None, None, 0.0]
 
 
 @pytest.mark.parametrize(

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from paraspark import Assay
+from paraspark import schema as S
 from paraspark.schema import PEAKS
 from paraspark.sinks import exports
 from paraspark.sources import readers
@@ -73,21 +74,19 @@ def test_example_table(spark):
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_assay_from_files_gives_the_same_report(spark, make_tables, tmp_path, fmt):
-    tables = make_tables(**merged(random_batch(5, 1), random_batch(6, 2)))
-    for name in ("peaks", "sequence", "mass_list", "calibration", "blank_map"):
+    tables = make_tables(**merged(random_batch(5, 1), random_batch(6, 2)), run_params=[(2, "C'10Cl6H16", 50.0)])
+    for name in ("peaks", "sequence", "mass_list", "calibration", "blank_map", "run_params"):
         exports.write_table(getattr(tables, name), f"{tmp_path}/{name}", fmt)
-    read = readers.read_assay(spark, str(tmp_path), fmt)
+    read = readers.read_assay(spark, str(tmp_path), fmt, run_params=True)
     assert rows(Assay(read).rows) == rows(Assay(tables).rows)
+    assert rows(read.run_params) == rows(tables.run_params)
+    assert readers.read_assay(spark, str(tmp_path), fmt).run_params is None
 
 
 def test_export_folders(spark, make_tables, tmp_path):
     out = str(tmp_path / "out")
     assay = Assay(make_tables(**random_batch(5, 1)), sheet_width=4)
-    exports.export_raw(assay, out)
-    for bs in (True, False):
-        exports.export_normalized(assay, out, bs)
-        exports.export_concentrations(assay, out, bs)
-    exports.export_calibration(assay, out)
+    exports.export_all(assay, out)
     exports.export_long(assay, out)
     assert {d for d in os.listdir(f"{out}/raw/batch_id=1") if "=" in d} == {
         "sample_type=Blank", "sample_type=Sample", "sample_type=Calibration", "sample_type=QC",
@@ -106,7 +105,8 @@ def test_csv_sheets_have_empty_cells(make_tables, tmp_path):
     batch = random_batch(5, 1)
     batch["sequence"] = [r for r in batch["sequence"] if r[3] != "QC"]
     assay = Assay(make_tables(**batch))
-    written = exports.named_exports(assay, 1, str(tmp_path))
+    everyone = sorted({r[2] for r in batch["sequence"] if r[2] is not None})
+    written = exports.named_exports(assay, 1, dict.fromkeys(S.SAMPLE_TYPES, everyone), str(tmp_path))
     assert written == ["Blank", "Sample", "Calibration"]
     folder = tmp_path / "peak_area" / "Sample"
     text = "\n".join(p.read_text() for p in folder.iterdir() if p.suffix == ".csv")

@@ -7,7 +7,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from paraspark.plans.oracle import oracle_sql
+from paraspark.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}

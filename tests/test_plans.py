@@ -8,12 +8,11 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
 from paraspark import Assay
 from paraspark import schema as S
 from paraspark.operators import views
-from paraspark.operators.joins import within
-from paraspark.session import checkpoint_dir
+from paraspark.plans.queries import queries
+from paraspark.session import RUNTIME_CONF, tune
 from paraspark.sources.driver_tables import ISTD_FORMULA, ISTD_MZ, assay_tables
 from paraspark.sources.storage import store_peaks, stored_peaks
 from tests.conftest import rows
@@ -73,9 +72,11 @@ def test_plain_report_reads_peaks_once(stored):
     assert "ReusedExchange" in text
 
 
-def test_raw_export_reads_peaks_once_and_shuffles_narrow_rows(stored):
+def test_raw_export_reads_areas_once_and_shuffles_narrow_rows(stored):
+    """The second scan finds the samples that have rows, by keys alone."""
     text = final_plan(Assay(stored).raw_export())
-    assert text.count("FileScan parquet [replicate") == 1
+    scans = re.findall(r"FileScan parquet \[(replicate[^\]]*)\]", text)
+    assert [("area_raw" in s) for s in sorted(scans, key=len)] == [False, True]
     wide = next(l for l in text.splitlines() if "Exchange hashpartitioning" in l and "row_identity" in l)
     assert "REPARTITION_BY_COL" in wide
 
@@ -139,15 +140,22 @@ def test_results_do_not_depend_on_broadcasts(spark, name):
         assert rows(queries()[name](spark, SF)) == expected
 
 
-def test_tables_past_the_bound_are_not_hinted(spark, stored, monkeypatch):
-    assert within(stored.mass_list, 182) and not within(stored.mass_list, 181)
-    assay = Assay(stored)
-    monkeypatch.setattr("paraspark.plans.assay.within", lambda *a: False)
-    assert not assay.small_batches
-    expected = rows(queries()["concentration_report"](spark, SF))
-    monkeypatch.undo()
-    assert rows(queries()["concentration_report"](spark, SF)) == expected
-    assert "rightHint=(strategy=broadcast)" not in assay.results(True)._jdf.queryExecution().optimizedPlan().toString()
+def test_no_computed_table_is_hinted(stored):
+    for df in (Assay(stored).results(True), Assay(stored).class_bars(False), Assay(stored).profile_relative(True)):
+        assert "strategy=broadcast" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_building_a_query_starts_no_job(spark, name):
+    """Save one, of a fixed number of names, where samples are laid out on sheets."""
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        queries()[name](spark, SF)
+        layouts = ("wide", "layout", "preview")
+        assert len(tracker.getJobIdsForGroup(group)) <= 4 * any(word in name for word in layouts)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_hot_injection_is_split(spark, make_tables):
@@ -185,5 +193,9 @@ def test_hot_injection_is_split(spark, make_tables):
         assert round(hot_total, 6) == round(len(small) // 2 * 0.2, 6)
 
 
-def test_checkpoint_folder_of_the_session_is_kept(spark):
-    assert checkpoint_dir(spark) == checkpoint_dir(spark)
+def test_settings_of_the_session_win(spark):
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    with settings(spark, **{key.replace(".", "__"): "false"}):
+        assert tune(spark).conf.get(key) == "false"
+    spark.conf.unset(key)
+    assert tune(spark).conf.get(key) == RUNTIME_CONF[key]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from paraspark import Assay, AssayParams
+from paraspark import schema as S
 from tests.conftest import rows
 
 ISTD = "C'10Cl6H16"
@@ -58,7 +61,45 @@ def test_standard_and_volume_per_batch(make_tables):
     got = {(r["batch_id"], r["molecular_formula"]): r["istd_area"] for r in a.rows.collect()}
     assert got[1, "C10H17Cl5"] == 10.0 and got[2, "C10H17Cl5"] == 20.0
     assert (1, "ISTD") in got and (2, "ISTD") in got
-    a.report(False).collect()
+
+
+
+def test_volume_per_batch(make_tables):
+    """Half the volume gives half the amount; the other batch keeps the run's."""
+    points = [("M1", 1.0, "10"), ("M1", 2.0, "20")]
+    base = calibration_case(make_tables, points)
+
+    def both(df):
+        return df.unionByName(df.withColumn("batch_id", F.lit(2)))
+
+    tables = S.AssayTables(**{k: both(v) for k, v in vars(base).items() if v is not None})
+    sample = F.when(F.col("replicate") == "c1", "Sample").otherwise(F.col("sample_type"))
+    tables = dataclasses.replace(tables, sequence=tables.sequence.withColumn("sample_type", sample))
+    halved = dataclasses.replace(tables, run_params=make_tables(run_params=[(2, ISTD, 50.0)]).run_params)
+    plain, other = (
+        {(r["batch_id"], r["label"]): r["amount"] for r in Assay(t).report(False).collect()} for t in (tables, halved)
+    )
+    assert plain.keys() == other.keys() and {b for b, _ in plain} == {1, 2}
+    assert any(amount > 0 for amount in plain.values())
+    for (batch, label), amount in plain.items():
+        assert math.isclose(other[batch, label], amount / batch)
+
+
+def test_repeated_run_parameters_are_reported(make_tables):
+    tables = make_tables(run_params=[(1, ISTD, 50.0), (1, ISTD, 60.0), (2, ISTD, 50.0)])
+    found = [tuple(r) for r in Assay(tables).duplicate_keys().collect()]
+    assert found == [("run_params_batch", 1, "", 2)]
+    assert ("run_params_batch", 1, 1, 1) in [tuple(r) for r in Assay(tables).key_summary().collect()]
+
+
+def test_one_bad_area_leaves_other_points_alone(make_tables):
+    points = [("M1", 1.0, "10"), ("M1", 2.0, "20"), ("M1", 3.0, "31")]
+    [want] = Assay(calibration_case(make_tables, points[:2])).mixture_fits.collect()
+    for bad in ("Infinity", "1e999", "12.5d"):
+        spoilt = [*points[:2], ("M1", 3.0, bad)]
+        [got] = Assay(calibration_case(make_tables, spoilt)).mixture_fits.filter("slope IS NOT NULL").collect()
+        assert math.isfinite(got["slope"])
+    assert math.isclose(want["slope"], 10.0)
 
 
 def test_chlorine_outside_domain_counts_in_total_only(make_tables):
