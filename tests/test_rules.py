@@ -80,8 +80,9 @@ def test_volume_per_batch(make_tables):
         {(r["batch_id"], r["label"]): r["amount"] for r in Assay(t).report(False).collect()} for t in (tables, halved)
     )
     assert plain.keys() == other.keys() and {b for b, _ in plain} == {1, 2}
-    assert any(amount > 0 for amount in plain.values())
-    for (batch, label), amount in plain.items():
+    known = {key: amount for key, amount in plain.items() if amount}
+    assert known and all(other[k] == v for k, v in plain.items() if not v)
+    for (batch, label), amount in known.items():
         assert math.isclose(other[batch, label], amount / batch)
 
 
