@@ -6,10 +6,8 @@ import dataclasses
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from paraspark import Assay, AssayParams
-from paraspark import schema as S
 from tests.conftest import rows
 
 ISTD = "C'10Cl6H16"
@@ -66,15 +64,15 @@ def test_standard_and_volume_per_batch(make_tables):
 
 def test_volume_per_batch(make_tables):
     """Half the volume gives half the amount; the other batch keeps the run's."""
-    points = [("M1", 1.0, "10"), ("M1", 2.0, "20")]
-    base = calibration_case(make_tables, points)
-
-    def both(df):
-        return df.unionByName(df.withColumn("batch_id", F.lit(2)))
-
-    tables = S.AssayTables(**{k: both(v) for k, v in vars(base).items() if v is not None})
-    sample = F.when(F.col("replicate") == "c1", "Sample").otherwise(F.col("sample_type"))
-    tables = dataclasses.replace(tables, sequence=tables.sequence.withColumn("sample_type", sample))
+    five, six = "C10H17Cl5", "C10H16Cl6"
+    areas = [("c5", five, "10"), ("c6", six, "20"), ("s", five, "15"), ("s", six, "5")]
+    tables = make_tables(
+        peaks=[(b, n, ISTD, 356.0, "1") for b in (1, 2) for n in ("c5", "c6", "s")]
+        + [(b, n, f, 312.0 if f == five else 347.0, x) for b in (1, 2) for n, f, x in areas],
+        sequence=[(b, n, n, "Sample" if n == "s" else "Calibration") for b in (1, 2) for n in ("c5", "c6", "s")],
+        mass_list=[(b, *t[1:]) for b in (1, 2) for t in (ISTD_TARGET, target(five, 312.0), target(six, 347.0))],
+        calibration=[(b, n, f"M{n}", 1.0, "10") for b in (1, 2) for n in ("c5", "c6")],
+    )
     halved = dataclasses.replace(tables, run_params=make_tables(run_params=[(2, ISTD, 50.0)]).run_params)
     plain, other = (
         {(r["batch_id"], r["label"]): r["amount"] for r in Assay(t).report(False).collect()} for t in (tables, halved)
