@@ -147,8 +147,9 @@ def encode_documents(
     with open(ranks_path, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
     id_type = docs.schema[id_col].dataType
-    source = docs.select(F.col(id_col).alias("__id"), text_of(docs, text_col).alias("__text"))
-    out = T.StructType([T.StructField("__id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    # pandas would turn ids beside a NULL into floats; as text they stay exact.
+    source = docs.select(F.col(id_col).cast("string").alias("__id"), text_of(docs, text_col).alias("__text"))
+    out = T.StructType([T.StructField("__id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     is_long = F.length("__text") > piece_chars
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +191,7 @@ def encode_documents(
     piece = T.StructType(
         [
             T.StructField("__row", T.LongType()),
-            T.StructField("__id", id_type),
+            T.StructField("__id", T.StringType()),
             T.StructField("__no", T.LongType()),
             T.StructField("__hard", T.BooleanType()),
         ]
@@ -205,7 +206,7 @@ def encode_documents(
         .groupBy("__row")
         .applyInPandas(joined, out)
     )
-    return short.unionByName(long).withColumnRenamed("__id", id_col)
+    return short.unionByName(long).select(F.col("__id").cast(id_type).alias(id_col), "ids")
 
 
 def decode_documents(

@@ -170,7 +170,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own = fingerprint(text)
                 out.append(_row(before, text, own))
             before = None if tail else (place, doc, text, own or fingerprint(text))
-        yield pd.DataFrame(out, columns=COLUMNS).astype({"id": "Int64"})
+        yield pd.DataFrame(out, columns=COLUMNS)
 
 
 COLUMNS = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -182,7 +182,7 @@ def _row(row: tuple, following: str, following_mark: tuple[str, np.ndarray]) ->
     edited_mark, edited_pieces = (mark, pieces) if edited == text else fingerprint(edited)
     alike = lambda other, other_pieces: 1.0 if other == mark else _shared(pieces, other_pieces)
     return (
-        None if pd.isna(doc) else int(doc),
+        doc,
         len(text),
         sha256(edited.encode("utf-8", "replace")).hexdigest(),
         mark,
@@ -247,7 +247,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "range", "tail", F.desc_nulls_last("id"), "hash"
     )
     out = (
-        "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    return ordered.select("range", "tail", "id", "text").mapInPandas(_pairs, out).withColumnRenamed("id", id_col)
+    # pandas would turn ids beside a NULL into floats; as text they stay exact.
+    named = ordered.select("range", "tail", F.col("id").cast("string").alias("id"), "text").mapInPandas(_pairs, out)
+    return named.select(F.col("id").cast("long").alias(id_col), *COLUMNS[1:])

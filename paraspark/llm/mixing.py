@@ -147,7 +147,8 @@ def mix_documents(
     text = text_of(docs, text_col)
     sized = cut_lineage(
         docs.select(
-            F.col(id_col).alias("doc"),
+            # pandas would turn ids beside a NULL into floats; as text they stay exact.
+            F.col(id_col).cast("string").alias("doc"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text).alias("size"),
             F.xxhash64(F.col(id_col), text, F.col(source_col)).alias("key"),
@@ -202,7 +203,7 @@ def mix_documents(
     for part in done[1:]:
         result = result.unionByName(part)
     return result.select(
-        F.col("doc").alias(id_col),
+        F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col),
         "key",
         "size",
         "source",

@@ -62,13 +62,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(
+    T.StructType(
+        [
+            T.StructField("n_shingles", T.LongType()),
+            T.StructField("node", T.LongType()),
+            T.StructField("signature", T.BinaryType()),
+        ]
+    )
+)
+def _describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingle_set(t, SHINGLE) for t in batch["text"]]
+        sets = [shingle_set(t, SHINGLE) for t in batch]
         yield pd.DataFrame(
             {
-                "id": batch["id"],
-                "hash": batch["hash"],
                 "n_shingles": [len(s) for s in sets],
                 "node": pd.array([_digest(s) if len(s) else None for s in sets], dtype="Int64"),
                 "signature": [signature(s).tobytes() if len(s) else None for s in sets],
@@ -369,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = text_of(docs, text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     described = cut_lineage(
-        source.mapInPandas(_describe, "id long, hash long, n_shingles long, node long, signature binary")
+        source.select("id", "hash", _describe("text").alias("set")).select("id", "hash", "set.*")
     )
     # A node is a set of shingles; one row that holds it stands for all.
     nodes = cut_lineage(

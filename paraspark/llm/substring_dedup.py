@@ -120,7 +120,8 @@ def _emit(
         yield int(bucket[start]), data, pack(known.view("u8"))
 
 
-def _frame(rows: list[tuple[int, int, bytes, bytes]]) -> pd.DataFrame:
+def _frame(rows: list[tuple[int, int, bytes, bytes | None]]) -> pd.DataFrame:
+    """Packed entries (their ids are in ``known``), and settled hashes of one id (``known`` is None)."""
     return pd.DataFrame(rows, columns=["bucket", "id", "data", "known"])
 
 
@@ -138,9 +139,9 @@ def _probe(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
         order = np.argsort(hashes, kind="stable")
         hashes, ids, block = hashes[order], ids[order], block[order]
         send, flag, hit = _settle_blocks(hashes, ids, block)
-        rows = [(b, None, d, k) for b, d, k in _emit(hashes[send], ids[send], flag[send], BLOCK_BITS - 20, buckets)]
+        rows = [(b, 0, d, k) for b, d, k in _emit(hashes[send], ids[send], flag[send], BLOCK_BITS - 20, buckets)]
         rows += [(i % buckets, i, d, None) for i, d in zip(*_by_id(ids[hit], hashes[hit]), strict=True)]
-        return _frame(rows).astype({"id": "Int64"})
+        return _frame(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
@@ -183,7 +184,7 @@ def _meet(
         for batch in batches:
             own = batch["known"].isna()
             if own.any():
-                yield batch.loc[own, ["id", "data"]].astype({"id": "i8"})
+                yield batch.loc[own, ["id", "data"]]
             for bucket, data, known in batch.loc[~own, ["bucket", "data", "known"]].itertuples(index=False):
                 if bucket != at and packs:
                     yield found(packs)
@@ -236,9 +237,9 @@ def _extend(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         later = _later(hashes, ids, first)
         none = np.zeros(int(first.sum()), dtype=bool)
-        rows = [(b, None, d, k) for b, d, k in _emit(hashes[first], ids[first], none, 44, buckets)]
+        rows = [(b, 0, d, k) for b, d, k in _emit(hashes[first], ids[first], none, 44, buckets)]
         rows += [(i % buckets, i, d, None) for i, d in zip(*_by_id(ids[later], hashes[later]), strict=True)]
-        return _frame(rows).astype({"id": "Int64"})
+        return _frame(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
