@@ -73,15 +73,17 @@ def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(parts[0], dtype="u8"), *parts[1:]]
 
 
-def _by_id(ids: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """For each id its distinct hashes."""
+def _homeward(ids: np.ndarray, hashes: np.ndarray, homes: int) -> list[tuple[int, bytes]]:
+    """(home, packed ids and hashes): one entry for each home of the ids, not for each id."""
     if not len(ids):
-        return [], []
-    order = np.lexsort((hashes, ids))
-    ids, hashes = ids[order], hashes[order]
-    starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    parts = np.split(hashes, starts[1:])
-    return ids[starts].tolist(), [np.unique(p).astype("<u8").tobytes() for p in parts]
+        return []
+    home = mix(ids.view("u8")) % np.uint64(homes)
+    order = np.lexsort((ids.view("u8"), home))
+    home, ids, hashes = home[order], ids[order], hashes[order]
+    cut = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
+    return [
+        (int(home[x]), pack(ids[x:y].view("u8"), hashes[x:y])) for x, y in zip(cut, [*cut[1:], len(home)], strict=True)
+    ]
 
 
 def _runs(hashes: np.ndarray) -> np.ndarray:
@@ -120,12 +122,12 @@ def _emit(
         yield int(bucket[start]), data, pack(known.view("u8"))
 
 
-def _frame(rows: list[tuple[int, int, bytes, bytes | None]]) -> pd.DataFrame:
-    """Packed entries (their ids are in ``known``), and settled hashes of one id (``known`` is None)."""
-    return pd.DataFrame(rows, columns=["bucket", "id", "data", "known"])
+def _frame(rows: list[tuple[int, bytes, bytes | None]]) -> pd.DataFrame:
+    """Packed entries (their ids are in ``known``), and what is settled for a home (``known`` is None)."""
+    return pd.DataFrame(rows, columns=["bucket", "data", "known"])
 
 
-SENT = "bucket long, id long, data binary, known binary"
+SENT = "bucket long, data binary, known binary"
 
 
 def _probe(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -139,9 +141,8 @@ def _probe(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
         order = np.argsort(hashes, kind="stable")
         hashes, ids, block = hashes[order], ids[order], block[order]
         send, flag, hit = _settle_blocks(hashes, ids, block)
-        rows = [(b, 0, d, k) for b, d, k in _emit(hashes[send], ids[send], flag[send], BLOCK_BITS - 20, buckets)]
-        rows += [(i % buckets, i, d, None) for i, d in zip(*_by_id(ids[hit], hashes[hit]), strict=True)]
-        return _frame(rows)
+        rows = list(_emit(hashes[send], ids[send], flag[send], BLOCK_BITS - 20, buckets))
+        return _frame(rows + [(h, d, None) for h, d in _homeward(ids[hit], hashes[hit], buckets)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
@@ -161,9 +162,9 @@ def _probe(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
 
 
 def _meet(
-    settle: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    settle: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], homes: int
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Entries of one bucket together, rows sorted by bucket: (id, hashes) for which ``settle`` holds."""
+    """Entries of one bucket together, rows sorted by bucket: packed (id, hash) for which ``settle`` holds."""
 
     def found(packs: list[tuple[bytes, bytes]]) -> pd.DataFrame:
         hashes, ids, flags = [], [], []
@@ -176,15 +177,14 @@ def _meet(
         order = np.argsort(h, kind="stable")
         h, i, f = h[order], i[order], f[order]
         keep = settle(h, i, f)
-        doc, data = _by_id(i[keep], h[keep])
-        return pd.DataFrame({"id": np.array(doc, dtype="i8"), "data": data})
+        return pd.DataFrame(_homeward(i[keep], h[keep], homes), columns=["home", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, packs = None, []
         for batch in batches:
             own = batch["known"].isna()
             if own.any():
-                yield batch.loc[own, ["id", "data"]]
+                yield batch.loc[own, ["bucket", "data"]].rename(columns={"bucket": "home"})
             for bucket, data, known in batch.loc[~own, ["bucket", "data", "known"]].itertuples(index=False):
                 if bucket != at and packs:
                     yield found(packs)
@@ -197,6 +197,31 @@ def _meet(
     return run
 
 
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, hashes) of each id, from the packs of a home; rows sorted by home."""
+
+    def found(packs: list[bytes]) -> pd.DataFrame:
+        columns = [unpack(p, 2) for p in packs]
+        ids = np.concatenate([c[0] for c in columns]).view("i8")
+        hashes = np.concatenate([c[1] for c in columns])
+        order = np.lexsort((hashes, ids))
+        ids, hashes = ids[order], hashes[order]
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        parts = np.split(hashes, starts[1:])
+        return pd.DataFrame({"id": ids[starts], "known": [np.unique(p).astype("<u8").tobytes() for p in parts]})
+
+    at, packs = None, []
+    for batch in batches:
+        for home, data in batch[["home", "data"]].itertuples(index=False):
+            if home != at and packs:
+                yield found(packs)
+                packs = []
+            at = home
+            packs.append(data)
+    if packs:
+        yield found(packs)
+
+
 def _later(hashes: np.ndarray, ids: np.ndarray, _: np.ndarray) -> np.ndarray:
     """Which of the sorted entries have one of a smaller id in their run."""
     run = _runs(hashes)
@@ -205,11 +230,9 @@ def _later(hashes: np.ndarray, ids: np.ndarray, _: np.ndarray) -> np.ndarray:
     return ids > low[run]
 
 
-def _hashes(parts) -> np.ndarray:
-    """Distinct hashes of a document's messages; none for a document without any."""
-    if parts is None or not len(parts):
-        return np.zeros(0, dtype="u8")
-    return np.unique(np.frombuffer(b"".join(parts), dtype="<u8"))
+def _hashes(known: bytes | None) -> np.ndarray:
+    """A document's hashes, sorted; none where nothing was found."""
+    return np.zeros(0, dtype="u8") if known is None else np.frombuffer(known, dtype="<u8")
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -237,15 +260,14 @@ def _extend(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         later = _later(hashes, ids, first)
         none = np.zeros(int(first.sum()), dtype=bool)
-        rows = [(b, 0, d, k) for b, d, k in _emit(hashes[first], ids[first], none, 44, buckets)]
-        rows += [(i % buckets, i, d, None) for i, d in zip(*_by_id(ids[later], hashes[later]), strict=True)]
-        return _frame(rows)
+        rows = list(_emit(hashes[first], ids[first], none, 44, buckets))
+        return _frame(rows + [(h, d, None) for h, d in _homeward(ids[later], hashes[later], buckets)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
         for batch in batches:
-            for doc, text, messages in zip(batch["id"], batch["text"], batch["messages"], strict=True):
-                known = _hashes(messages)
+            for doc, text, found in zip(batch["id"], batch["text"], batch["known"], strict=True):
+                known = _hashes(found)
                 if not len(known):
                     continue
                 half = half_windows(word_hashes(text.encode("utf-8", "replace")))
@@ -266,10 +288,10 @@ def _extend(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     return run
 
 
-def _removed(text: str, messages) -> tuple[list[bytes], np.ndarray]:
+def _removed(text: str, found: bytes | None) -> tuple[list[bytes], np.ndarray]:
     """Words of a text and which of them are removed."""
     data = text.encode("utf-8", "replace")
-    words, known = data.split(), _hashes(messages)
+    words, known = data.split(), _hashes(found)
     gone = np.zeros(len(words), dtype=bool)
     if len(known):
         whole = whole_windows(half_windows(word_hashes(data)))
@@ -282,8 +304,8 @@ def _removed(text: str, messages) -> tuple[list[bytes], np.ndarray]:
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, text, messages in zip(batch["id"], batch["text"], batch["messages"], strict=True):
-            words, gone = _removed(text, messages)
+        for doc, text, found in zip(batch["id"], batch["text"], batch["known"], strict=True):
+            words, gone = _removed(text, found)
             if gone.any():
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
             else:
@@ -308,15 +330,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
     def exchanged(sent: DataFrame, settle) -> DataFrame:
-        met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_meet(settle), "id long, data binary")
-        return met.groupBy("id").agg(F.collect_list("data").alias("messages"))
+        met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
+            _meet(settle, buckets), "home long, data binary"
+        )
+        return met.repartition("home").sortWithinPartitions("home").mapInPandas(_gather, "id long, known binary")
 
     hits = exchanged(source.mapInPandas(_probe(buckets), SENT), _block_hits)
-    near = source.join(hits, "id", "left").select("id", "text", "messages").mapInPandas(_extend(buckets), SENT)
+    near = source.join(hits, "id", "left").select("id", "text", "known").mapInPandas(_extend(buckets), SENT)
     repeats = exchanged(near, _later)
     done = (
         source.join(repeats, "id", "left")
-        .select("id", "text", "messages")
+        .select("id", "text", "known")
         .mapInPandas(_finish, "id long, n_words long, n_removed long, kept string")
     )
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
