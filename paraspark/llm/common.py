@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,24 +76,35 @@ def text_of(frame: DataFrame, name: str) -> Column:
     return F.coalesce(frame[name].cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is derived once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def prefix_sums(lengths: Column) -> Column:
     """Sums of the elements before each element of an array of numbers.
 
     Blocks keep the work near linear for arrays of any size.
     """
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), ((F.size(lengths) - 1) / PREFIX_BLOCK).cast("int")))
-    sums = F.transform(blocks, lambda b: total(F.slice(lengths, b * PREFIX_BLOCK + 1, PREFIX_BLOCK)))
-    before = F.aggregate(
-        sums,
-        F.array(F.lit(0).cast("long")),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    return F.transform(
-        lengths,
-        lambda _, i: F.get(before, (i / PREFIX_BLOCK).cast("int"))
-        + total(F.slice(lengths, (i / PREFIX_BLOCK).cast("int") * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)),
-    )
+
+    def block_starts(items: Column) -> Column:
+        blocks = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / PREFIX_BLOCK).cast("int")))
+        sums = F.transform(blocks, lambda b: total(F.slice(items, b * PREFIX_BLOCK + 1, PREFIX_BLOCK)))
+        return F.aggregate(
+            sums,
+            F.array(F.lit(0).cast("long")),
+            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
+        )
+
+    def placed(items: Column, before: Column) -> Column:
+        return F.transform(
+            items,
+            lambda _, i: F.get(before, (i / PREFIX_BLOCK).cast("int"))
+            + total(F.slice(items, (i / PREFIX_BLOCK).cast("int") * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)),
+        )
+
+    return let(lengths, lambda items: let(block_starts(items), lambda before: placed(items, before)))
 
 
 def tree_depth(items: int, fan_in: int) -> int:

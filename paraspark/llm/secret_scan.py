@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import prefix_sums, text_of
+from paraspark.llm.common import let, prefix_sums, text_of
 
 # The patterns of the contract, kinds in their listed order.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -49,29 +49,40 @@ CLASSES = (CharacterClass(r"^[0-9a-fA-F]+$", 3.0), CharacterClass(r"^[A-Za-z0-9+
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
-def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Leftmost non-overlapping matches, and where each begins (code points)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.length(m)).cast("long"))
-    first = F.transform(
-        prefix_sums(steps), lambda before, i: before + F.length(F.get(between, i))
+def _matches(text: Column, pattern: str) -> Column:
+    """(match, start) of the leftmost non-overlapping matches, in code points."""
+
+    def placed(both: Column) -> Column:
+        found, between = both["found"], both["between"]
+        steps = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.length(m)).cast("long"))
+        return let(
+            prefix_sums(steps),
+            lambda before: F.transform(
+                found,
+                lambda m, i: F.struct(
+                    m.alias("match"), (F.get(before, i) + F.length(F.get(between, i))).alias("start")
+                ),
+            ),
+        )
+
+    return let(
+        F.struct(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+            F.split(text, pattern, -1).alias("between"),
+        ),
+        placed,
     )
-    return found, first
 
 
 def _spans(text: Column, kind: int, pattern: str, keep, gate: str) -> Column:
     """Spans of the matches for which ``keep`` holds; ``gate`` tells texts without any."""
-    found, first = _matches(text, pattern)
-    spans = F.zip_with(
-        found,
-        first,
-        lambda m, s: F.when(
-            keep(m),
-            F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(m)).alias("end")),
+    spans = F.transform(
+        F.filter(_matches(text, pattern), lambda x: keep(x["match"])),
+        lambda x: F.struct(
+            F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end")
         ),
     )
-    return F.when(text.rlike(gate), F.filter(spans, lambda x: x.isNotNull())).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(gate), spans).otherwise(F.array().cast(SPAN))
 
 
 def _dense_part(candidate: Column, start: Column, window: int, kind: int) -> Column:
@@ -131,22 +142,13 @@ def _dense_part(candidate: Column, start: Column, window: int, kind: int) -> Col
 
 
 def _entropy_spans(text: Column, base: Column, window: int, allowed: Sequence[str]) -> Column:
-    # A gate that costs little: such a run must hold a digit beside letters.
     candidate = rf"[A-Za-z0-9+/_=-]{{{window},}}"
-    found, first = _matches(text, candidate)
-    ok = lambda m: ~F.expr("false") if not allowed else ~_any(m, allowed)
-    judged = F.zip_with(
-        found,
-        first,
-        lambda m, s: F.when(
-            ok(m) & ~F.exists(base, lambda b: (b["start"] < s + F.length(m)) & (b["end"] > s)),
-            F.struct(m.alias("m"), s.alias("s")),
-        ),
-    )
-    spans = F.transform(
-        F.filter(judged, lambda x: x.isNotNull()),
-        lambda x: _dense_part(x["m"], x["s"], window, KINDS.index("entropy")),
+    judged = F.filter(
+        _matches(text, candidate),
+        lambda x: ~_any(x["match"], allowed)
+        & ~F.exists(base, lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (b["end"] > x["start"])),
     )
+    spans = F.transform(judged, lambda x: _dense_part(x["match"], x["start"], window, KINDS.index("entropy")))
     return F.when(text.rlike(candidate), F.filter(spans, lambda x: x.isNotNull())).otherwise(
         F.array().cast(SPAN)
     )
