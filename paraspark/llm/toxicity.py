@@ -38,7 +38,7 @@ END_MARK = 63
 TABLE = 1 << 20
 ORDER = 4
 MAX_GAP = 1
-DECAY = 0.8
+DECAY = 0.5
 LANDMARKS = 256
 #: Bounds of the training sample: labelled documents of each class, strings of each.
 TOXIC_DOCS = 1200
@@ -51,6 +51,7 @@ ALIKE = 12
 #: Standard errors of the log-odds from which a string of a toxic document is a witness at first.
 SURE = 3.5
 ROUNDS = 4
+COST = 10.0
 THRESHOLD = 0.3
 CHUNK_CHARS = 1_000_000
 _DROP = 255
@@ -183,21 +184,21 @@ def _features(strings: list[str], codes: np.ndarray | None = None) -> tuple[np.n
         codes = np.unique(col)
     place = np.minimum(np.searchsorted(codes, col), max(len(codes) - 1, 0))
     known = codes[place] == col if len(codes) else np.zeros(0, dtype=bool)
-    out = np.zeros((len(strings), len(codes)))
+    out = np.zeros((len(strings), len(codes)), dtype="f4")
     np.add.at(out, (row[known], place[known]), value[known])
     return out, codes
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of the squared-hinge machine, by Newton steps; the last is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: float, ridge: float = 1.0) -> np.ndarray:
+    """Weights of the squared-hinge machine, by Newton steps; the last column of ``x`` is 1."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[-1, -1] = 1e-3
     for _ in range(30):
         near = y * (x @ w) < 1
-        part, c = x[near], cost[near, None]
-        new = np.linalg.solve(penalty + part.T @ (c * part), part.T @ (c[:, 0] * y[near]))
+        part = x[near]
+        gram = (part.T @ part).astype("f8")
+        new = np.linalg.solve(penalty + cost * gram, cost * (part.T @ y[near]).astype("f8"))
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -255,16 +256,18 @@ def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
     landmarks = [*dirty[: LANDMARKS * 5 // 8], *plain[: LANDMARKS // 4], *plain[::-1][: LANDMARKS // 8]]
     landmarks = list(dict.fromkeys(landmarks))
     base, codes = _features(landmarks)
-    size, axes = np.linalg.eigh(base @ base.T)
+    size, axes = np.linalg.eigh((base @ base.T).astype("f8"))
     good = size > 1e-6 * max(size.max(), 1e-12)
     half = axes[:, good] / np.sqrt(size[good])
     # The Nyström map of a string is its kernel with the landmarks times ``half``.
-    basis = base.T @ half
+    basis = base.T @ half.astype("f4")
+    del base
 
     def mapped(rows: np.ndarray) -> np.ndarray:
-        return np.vstack(
-            [_features([text[r] for r in rows[i : i + 500]], codes)[0] @ basis for i in range(0, len(rows), 500)]
-        )
+        out = np.ones((len(rows), basis.shape[1] + 1), dtype="f4")
+        for i in range(0, len(rows), 100):
+            out[i : i + 100, :-1] = _features([text[r] for r in rows[i : i + 100]], codes)[0] @ basis
+        return out
 
     score, sure = value, SURE
     for _ in range(ROUNDS):
@@ -275,7 +278,7 @@ def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
         against = used[~used["toxic"] & ((used["rank"] <= 6) | (used["rank"] % 5 == 0))].index.to_numpy()
         rows = np.concatenate([witness, against])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(against))])
-        w = linear_svm(mapped(rows), y, np.full(len(y), 10.0))
+        w = linear_svm(mapped(rows), y.astype("f4"), COST)
         weights = np.zeros(TABLE)
         weights[codes] = basis @ w[:-1]
         bias = w[-1]
