@@ -130,7 +130,7 @@ def _frame(rows: list[tuple[int, bytes, bytes | None]]) -> pd.DataFrame:
 SENT = "bucket long, data binary, known binary"
 
 
-def _probe(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _probe(buckets: int, homes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Blocks and rolling windows of each text, as packed entries and hits settled here."""
     step = WINDOW // 2
 
@@ -142,7 +142,7 @@ def _probe(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
         hashes, ids, block = hashes[order], ids[order], block[order]
         send, flag, hit = _settle_blocks(hashes, ids, block)
         rows = list(_emit(hashes[send], ids[send], flag[send], BLOCK_BITS - 20, buckets))
-        return _frame(rows + [(h, d, None) for h, d in _homeward(ids[hit], hashes[hit], buckets)])
+        return _frame(rows + [(h, d, None) for h, d in _homeward(ids[hit], hashes[hit], homes)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
@@ -166,7 +166,7 @@ def _meet(
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Entries of one bucket together, rows sorted by bucket: packed (id, hash) for which ``settle`` holds."""
 
-    def found(packs: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+    def found(packs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         hashes, ids, flags = [], [], []
         for data, known in packs:
             h, place = unpack(data, 2)
@@ -177,22 +177,33 @@ def _meet(
         order = np.argsort(h, kind="stable")
         h, i, f = h[order], i[order], f[order]
         keep = settle(h, i, f)
-        return pd.DataFrame(_homeward(i[keep], h[keep], homes), columns=["home", "data"])
+        return i[keep], h[keep]
+
+    def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        ids, hashes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        return pd.DataFrame(_homeward(ids, hashes, homes), columns=["home", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, packs = None, []
+        # What a task finds is told once for each home, or whenever there is much of it.
+        at, packs, parts, size = None, [], [], 0
         for batch in batches:
             own = batch["known"].isna()
             if own.any():
                 yield batch.loc[own, ["bucket", "data"]].rename(columns={"bucket": "home"})
             for bucket, data, known in batch.loc[~own, ["bucket", "data", "known"]].itertuples(index=False):
                 if bucket != at and packs:
-                    yield found(packs)
+                    parts.append(found(packs))
+                    size += len(parts[-1][0])
                     packs = []
+                    if size >= FLUSH:
+                        yield told(parts)
+                        parts, size = [], 0
                 at = bucket
                 packs.append((data, known))
         if packs:
-            yield found(packs)
+            parts.append(found(packs))
+        if parts:
+            yield told(parts)
 
     return run
 
@@ -248,7 +259,7 @@ def _spread(starts: np.ndarray, before: int, after: int, size: int) -> np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
-def _extend(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _extend(buckets: int, homes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """All windows around the hits of each text, as packed entries and repeats settled here."""
     step = WINDOW // 2
 
@@ -261,7 +272,7 @@ def _extend(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         later = _later(hashes, ids, first)
         none = np.zeros(int(first.sum()), dtype=bool)
         rows = list(_emit(hashes[first], ids[first], none, 44, buckets))
-        return _frame(rows + [(h, d, None) for h, d in _homeward(ids[later], hashes[later], buckets)])
+        return _frame(rows + [(h, d, None) for h, d in _homeward(ids[later], hashes[later], homes)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
@@ -324,19 +335,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     prepare(spark)
-    buckets = min(shuffle_partitions(spark) * BUCKETS, 1 << 20)
+    homes = shuffle_partitions(spark)
+    buckets = min(homes * BUCKETS, 1 << 20)
     source = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(docs, text_col).alias("text")
     )
 
     def exchanged(sent: DataFrame, settle) -> DataFrame:
         met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
-            _meet(settle, buckets), "home long, data binary"
+            _meet(settle, homes), "home long, data binary"
         )
         return met.repartition("home").sortWithinPartitions("home").mapInPandas(_gather, "id long, known binary")
 
-    hits = exchanged(source.mapInPandas(_probe(buckets), SENT), _block_hits)
-    near = source.join(hits, "id", "left").select("id", "text", "known").mapInPandas(_extend(buckets), SENT)
+    hits = exchanged(source.mapInPandas(_probe(buckets, homes), SENT), _block_hits)
+    near = source.join(hits, "id", "left").select("id", "text", "known").mapInPandas(_extend(buckets, homes), SENT)
     repeats = exchanged(near, _later)
     done = (
         source.join(repeats, "id", "left")
