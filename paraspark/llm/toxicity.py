@@ -373,6 +373,8 @@ def train(labels: DataFrame, texts: DataFrame) -> Model:
             for i in range(0, len(batch), 64):
                 part = batch.iloc[i : i + 64]
                 for k, strings in _telling(part["text"].tolist(), evidence):
+                    if not strings:
+                        continue
                     yield pd.DataFrame(
                         {"doc": part["doc"].iloc[k], "toxic": int(part["toxic"].iloc[k]), "string": strings}
                     )
