@@ -75,5 +75,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_SUBSTRING_DEDUP = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(COALESCE(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents
+),
+words AS (SELECT doc_id, UNNEST(ws) AS word, GENERATE_SUBSCRIPTS(ws, 1) AS pos FROM texts),
+windows AS (
+  SELECT doc_id, pos, md5(STRING_AGG(word, ' ') OVER w) AS h, COUNT(*) OVER w AS n FROM words
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+),
+lowest AS (SELECT h, MIN(doc_id) AS first_doc FROM windows WHERE n = 50 GROUP BY h),
+later AS (
+  SELECT doc_id, pos AS start FROM windows JOIN lowest USING (h) WHERE n = 50 AND first_doc < doc_id
+),
+covered AS (
+  SELECT w.doc_id, w.pos, w.word,
+         MAX(l.start) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN later l ON l.doc_id = w.doc_id AND l.start = w.pos
+)
+SELECT d.doc_id, COUNT(c.pos) AS n_words, COUNT(*) FILTER (WHERE c.gone) AS n_removed,
+       sha256(COALESCE(STRING_AGG(c.word, ' ' ORDER BY c.pos) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN covered c USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring_dedup": _SUBSTRING_DEDUP}
