@@ -1,6 +1,7 @@
 """Readers for the peak report and the metadata tables (CSV or Parquet).
 
-Schemas are fixed; nothing is inferred. CSV columns are found by name, in the
+Columns are cast to fixed schemas; Parquet files say their own types, CSV is read as
+text. Columns are found by name, in the
 vendor's spelling ("Product Mz"), its mangled form ("Product.Mz") or ours.
 """
 
