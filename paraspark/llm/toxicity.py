@@ -13,7 +13,7 @@ that tell most, maps them to ``LANDMARKS`` landmarks (Nyström) and alternates b
 linear support vector machine and the choice of each toxic document's witness strings. A
 decision is linear in the landmarks' kernels, hence one weight for each subsequence: a
 table of 4 MB that is broadcast. Scores of a part of the sample that was not trained on
-set the scale from decisions to scores.
+set the scale from decisions to scores, each class weighing what it has of all labels.
 
 A sentence scores as its worst string, a document as its worst sentence.
 """
@@ -216,24 +216,34 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _scale(decision: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from decisions to odds, with smoothed targets."""
+def _scale(decision: np.ndarray, y: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from decisions to odds, with smoothed targets.
+
+    A clean row counts ``stands_for[0]`` times, a toxic one ``stands_for[1]`` times.
+    """
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.where(y > 0, stands_for[1], stands_for[0])
+    weight = weight / weight.mean()
     w = np.array([1.0, 0.0])
     x = np.column_stack([decision, np.ones(len(decision))])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p) - 1e-3 * w)
+        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (target - p)) - 1e-3 * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
-def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
-    """Model from strings (doc, toxic, string), ``STRINGS`` of each document at most."""
+def fit(
+    sample: pd.DataFrame, evidence: np.ndarray, prior: float, stands_for: tuple[float, float] = (1.0, 1.0)
+) -> Model:
+    """Model from strings (doc, toxic, string), ``STRINGS`` of each document at most.
+
+    A clean and a toxic document of the sample stand for ``stands_for`` labelled ones each.
+    """
     flat = Model(np.zeros(TABLE, dtype="f4"), 0.0, float(np.log(prior / (1 - prior))))
     if not len(sample) or sample["toxic"].nunique() < 2:
         return flat
@@ -285,7 +295,7 @@ def fit(sample: pd.DataFrame, evidence: np.ndarray, prior: float) -> Model:
         score, sure = worst(text, weights) + bias, 0.0
     best = pd.DataFrame({"doc": doc, "score": score - bias, "toxic": toxic, "trained": trained}).groupby("doc").max()
     test = best[~best["trained"]] if not trained.all() else best
-    slope, offset = _scale(test["score"].to_numpy(), np.where(test["toxic"], 1, -1))
+    slope, offset = _scale(test["score"].to_numpy(), np.where(test["toxic"], 1, -1), stands_for)
     return Model(weights.astype("f4"), slope, offset)
 
 
@@ -341,11 +351,16 @@ def train(labels: DataFrame, texts: DataFrame) -> Model:
     """Model from (doc, toxic) and (doc, text).
 
     Labels other than 0 and 1 are left out, and those without a text. The sample is the documents of each class with
-    the smallest hashes, ``TOXIC_DOCS`` and ``CLEAN_DOCS`` at most; with one class or none every
-    score is its share.
+    the smallest hashes, ``TOXIC_DOCS`` and ``CLEAN_DOCS`` at most. Both classes are counted over all
+    labels, so that scores have the level of the whole table however much of each class is
+    drawn. With one class or none every score is its share.
     """
     prepare(labels.sparkSession)
-    named = labels.where(F.col("toxic").isin(0, 1)).join(texts.select("doc").distinct(), "doc").distinct()
+    # Written once: it is counted, and both classes are drawn from it.
+    named = cut_lineage(
+        labels.where(F.col("toxic").isin(0, 1)).join(texts.select("doc").distinct(), "doc").distinct()
+    )
+    totals = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
     picked = [
         named.where(F.col("toxic") == label).orderBy(F.xxhash64("doc"), "doc").limit(most)
         for label, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))
@@ -363,7 +378,9 @@ def train(labels: DataFrame, texts: DataFrame) -> Model:
     )
     clean, dirty = np.zeros(TABLE + 1), np.zeros(TABLE + 1)
     clean[counted["code"]], dirty[counted["code"]] = counted["clean"], counted["dirty"]
-    prior = float((dirty[-1] + 1) / (clean[-1] + dirty[-1] + 2))
+    known = [totals.get(label, 0) for label in (0, 1)]
+    prior = (known[1] + 1) / (sum(known) + 2)
+    stands_for = tuple(max(n / most, 1.0) for n, most in zip(known, (CLEAN_DOCS, TOXIC_DOCS), strict=True))
     a, b = dirty[:-1] + 0.5, clean[:-1] + 0.5
     # Log-odds that a document with the gram is toxic, in standard errors.
     evidence = (np.log(a / (dirty[-1] + 1)) - np.log(b / (clean[-1] + 1))) / np.sqrt(1 / a + 1 / b)
@@ -380,7 +397,7 @@ def train(labels: DataFrame, texts: DataFrame) -> Model:
                     )
 
     strings = sample.mapInPandas(telling, "doc string, toxic int, string string").toPandas()
-    return fit(strings, evidence, prior)
+    return fit(strings, evidence, prior, stands_for)
 
 
 def held_out(doc: F.Column) -> F.Column:

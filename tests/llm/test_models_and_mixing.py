@@ -75,6 +75,38 @@ def test_toxic_documents_held_out(spark):
     assert stay.columns == docs.columns and 0.7 * docs.count() < stay.count() < docs.count()
 
 
+def test_a_bounded_sample_keeps_the_level_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    plain, insults = [word() for _ in range(300)], [word() for _ in range(6)]
+    rows = []
+    for i in range(2400):
+        toxic = int(rng.random() < 0.12)
+        words = list(rng.choice(plain, 8))
+        # Neither all toxic texts nor they alone hold such a word.
+        if rng.random() < (0.8 if toxic else 0.06):
+            words[3] = str(rng.choice(insults))
+        rows.append((i, " ".join(words), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    level = []
+    for clean in (toxicity.CLEAN_DOCS, 200):
+        monkeypatch.setattr(toxicity, "CLEAN_DOCS", clean)
+        scored = toxicity.score_documents(df, toxicity.train_on(df, df)).where("held_out").collect()
+        level.append(np.mean([r["score"] for r in scored]))
+    assert abs(level[1] - level[0]) < 0.06, level
+
+
+def test_classes_weigh_what_they_stand_for():
+    rng = np.random.default_rng(7)
+    y = np.where(np.arange(4000) < 400, 1, -1)
+    x = rng.normal(size=4000) + (y > 0)
+    slope, offset = toxicity._scale(x, y)
+    drawn = np.flatnonzero((y > 0) | (np.arange(4000) % 18 == 0))
+    own = toxicity._scale(x[drawn], y[drawn], (18.0, 1.0))
+    assert abs(own[0] - slope) < 0.3 and abs(own[1] - offset) < 0.3
+    assert toxicity._scale(x[drawn], y[drawn])[1] - offset > 2
+
+
 def test_toxicity_without_labels_or_texts(spark, documents):
     docs = documents([(1, None), (2, ""), (None, "idiot"), (3, "word " * 30000)])
     for rows in ([], [(1, 0, 1), (2, 0, 1)], [(1, None, None)]):
