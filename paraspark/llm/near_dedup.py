@@ -363,14 +363,11 @@ def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of near-duplicate documents.
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, n_shingles, component, component_id) of every row; the last two are NULL without words.
 
-    Returns the id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and
-    ``kept`` (the id is the component's). Ids are integers. Texts that are NULL or without
-    words have no shingles, no links and are kept. Repeated rows each get their result. A
-    NULL id counts after all others: its row is kept only where its component has no
-    id. An empty table gives an empty result; further columns are not looked at.
+    ``component`` names a component by one of its nodes; ``component_id``, its smallest id, may be
+    that of several, or NULL.
     """
     prepare(docs.sparkSession)
     text = text_of(docs, text_col)
@@ -423,10 +420,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "node", "low", F.coalesce("component", "node").alias("component")
     )
     lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    labelled = cut_lineage(placed.join(lowest, "component").select("node", "component_id"))
-    found = described.select("id", "n_shingles", "node").join(labelled, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return found.select(
+    labelled = cut_lineage(placed.join(lowest, "component").select("node", "component", "component_id"))
+    return (
+        described.select("id", "hash", "n_shingles", "node")
+        .join(labelled, "node", "left")
+        .select("id", "hash", "n_shingles", "component", "component_id")
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of near-duplicate documents.
+
+    Returns the id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and
+    ``kept`` (the id is the component's). Ids are integers. Texts that are NULL or without
+    words have no shingles, no links and are kept. Repeated rows each get their result. A
+    NULL id counts after all others: its row is kept only where its component has no
+    id. An empty table gives an empty result; further columns are not looked at.
+    """
+    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return _placed(docs, id_col, text_col).select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
@@ -437,15 +449,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, one for each component; columns unchanged.
 
-    Of repeated rows with one kept id one stays.
+    That is the row of the smallest id, NULL after all others, and of the smallest hash of its text
+    among those. Rows without words have no component: of those repeated with one id one stays,
+    all do where it is NULL.
     """
-    kept = (
-        near_duplicates(docs, id_col, text_col)
-        .where("kept")
-        .groupBy(F.col(id_col).alias("__kept"))
-        .agg(F.count("*").alias("__rows"))
+    # Rows are told apart by id and text: ids may be NULL, or shared by texts that differ.
+    rows = (
+        _placed(docs, id_col, text_col)
+        .groupBy("component", "id", "hash")
+        .agg(F.count("*").alias("rows"))
+    )
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "rows")
+    first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("row"))
+    wordless = rows.where(F.col("component").isNull()).select(
+        "id", "hash", F.when(F.col("id").isNull(), 1).otherwise(F.col("rows")).alias("rows")
+    )
+    kept = cut_lineage(
+        first.select("row.id", "row.hash", "row.rows")
+        .unionByName(wordless)
+        .select(F.col("id").alias("__kept"), F.col("hash").alias("__kept_hash"), F.col("rows").alias("__rows"))
+    )
+    hashed = docs.withColumn("__row_hash", F.xxhash64(text_of(docs, text_col)))
+    staying = hashed.join(
+        kept,
+        hashed[id_col].cast("long").eqNullSafe(F.col("__kept")) & (F.col("__row_hash") == F.col("__kept_hash")),
     )
-    staying = docs.join(cut_lineage(kept), docs[id_col].cast("long").eqNullSafe(F.col("__kept")))
     single = staying.where("__rows = 1").select(*docs.columns)
-    repeated = staying.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col])
+    repeated = staying.where("__rows > 1").dropDuplicates(["__kept", "__kept_hash"]).select(*docs.columns)
     return single.unionByName(repeated)

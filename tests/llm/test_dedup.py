@@ -74,6 +74,18 @@ def test_odd_documents(documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
 
 
+def test_rows_without_or_with_equal_ids_stay(documents):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, "alpha beta gamma"), (None, "delta epsilon"), (None, "ALPHA  beta gamma"), (None, "delta epsilon"),
+            (None, long), (7, long + " more"), (None, ""), (None, None), (5, "first of five"), (5, "quite another text"),
+            (6, None), (6, None), (9, "first  OF five")]
+    stay = near_dedup.drop_near_duplicates(documents(rows)).collect()
+    got = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").lower().split())) for r in stay)
+    want = [(None, "alpha beta gamma"), (None, "delta epsilon"), (None, ""), (None, ""), (7, long + " more"),
+            (5, "first of five"), (5, "quite another text"), (6, "")]
+    assert got == sorted((i or 0, t) for i, t in want)
+
+
 def test_components_of_long_paths(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)]
     random.Random(2).shuffle(links)
