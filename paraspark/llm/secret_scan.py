@@ -5,8 +5,9 @@ Shannon entropy follows from counts of each character, of which a step changes t
 with ``S`` the sum of ``c * log2(c)`` over the counts of a window of ``W``
 characters, the entropy is ``log2(W) - S / W``, and a step adds the difference for
 the character that enters and for the one that leaves. Each character class (hex,
-base64) has its own limit. Candidates on the allow list, and those inside a base span,
-are suppressed. Only built-in array functions run, each document within its row;
+base64) has its own limit. What a base span covers is cut out of a candidate, and so are the
+segments between separators that the allow list matches; each part that is left is judged by
+itself. Only built-in array functions run, each document within its row;
 nothing is shuffled.
 """
 
@@ -141,13 +142,52 @@ def _dense_part(candidate: Column, start: Column, window: int, kind: int) -> Col
     )
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with a blank for each character of the spans, so that all others keep their places."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def cut(s: Column, x: Column) -> Column:
+        start = F.greatest(x["start"], s["at"])
+        gap = F.substring(text, (s["at"] + 1).cast("int"), (start - s["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0)).cast("int"))
+        return F.struct(
+            F.when(x["end"] <= s["at"], s["out"]).otherwise(F.concat(s["out"], gap, blank)).alias("out"),
+            F.greatest(s["at"], x["end"]).alias("at"),
+        )
+
+    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, cut, rest)).otherwise(text)
+
+
+def _segments(part: Column, allowed: Sequence[str]) -> Column:
+    """Spans of the segments of ``part`` that a pattern touches; a whole-part pattern touches all."""
+    spans = [
+        F.transform(
+            # Only tried where a segment begins, so that a long one is not walked from each place.
+            _matches(part, rf"(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:{p})[A-Za-z0-9]*"),
+            lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end")),
+        )
+        for p in allowed
+    ]
+    return F.concat(*spans)
+
+
+def _open_parts(run: Column, candidate: str, allowed: Sequence[str]) -> Column:
+    """(match, start) of the parts of a run that the allow list leaves."""
+    left = F.transform(
+        let(_blanked(run["match"], _segments(run["match"], allowed)), lambda t: _matches(t, candidate)),
+        lambda x: F.struct(x["match"].alias("match"), (run["start"] + x["start"]).alias("start")),
+    )
+    return F.when(_any(run["match"], allowed), F.filter(left, lambda x: ~_any(x["match"], allowed))).otherwise(
+        F.array(run)
+    )
+
+
 def _entropy_spans(text: Column, base: Column, window: int, allowed: Sequence[str]) -> Column:
     candidate = rf"[A-Za-z0-9+/_=-]{{{window},}}"
-    judged = F.filter(
-        _matches(text, candidate),
-        lambda x: ~_any(x["match"], allowed)
-        & ~F.exists(base, lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (b["end"] > x["start"])),
-    )
+    runs = let(_blanked(text, base), lambda t: _matches(t, candidate))
+    judged = F.flatten(F.transform(runs, lambda x: _open_parts(x, candidate, allowed))) if allowed else runs
     spans = F.transform(judged, lambda x: _dense_part(x["match"], x["start"], window, KINDS.index("entropy")))
     return F.when(text.rlike(candidate), F.filter(spans, lambda x: x.isNotNull())).otherwise(
         F.array().cast(SPAN)

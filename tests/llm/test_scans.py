@@ -110,6 +110,31 @@ def test_odd_secrets(documents):
     assert "entropy" not in got[6]["spans"] and got[6]["n_access"] == 1
 
 
+TOKEN = "Zx81kQp0s7LmVw3RtY6uHb9NcD2eGf5JaK4oPiMlQ7TzX0yBvCnE8rWsUdFhGjIkLqAo"
+
+
+def test_secrets_joined_to_other_runs(documents):
+    odd = "see https://chat.example.org/"
+    texts = {
+        1: f"{odd}api/webhooks/123456789012345678/{TOKEN} end",
+        2: f"deadbeefdeadbeef_{TOKEN[:40]}",
+        3: f"AKIAABCDEFGHIJKLMN/{TOKEN[:40]}",
+        4: f"path/sample/{TOKEN[:40]}",
+        5: f"{TOKEN[:40]}/my-example-file",
+        6: f"{TOKEN[:24]}-deadbeefdeadbeef-{TOKEN[30:60]}",
+        7: "example/zzzzzzzzzzzzzzzzzzzzzzzzzzzzz",
+        8: "my_example_Zx81kQp0s7LmVw3Rexample",
+        9: "0123456789abcdef0123456789abcdef",
+        10: "🙂 your_key/" + TOKEN[:30],
+    }
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(documents(list(texts.items()))).collect()}
+    for i, parts in {1: [TOKEN], 2: [TOKEN[:40]], 3: [TOKEN[:40]], 4: [TOKEN[:40]], 5: [TOKEN[:40]], 6: [TOKEN[:24], TOKEN[30:60]],
+                     10: [TOKEN[:30]]}.items():
+        assert not any(p[k : k + 8] in masked[i] for p in parts for k in range(len(p) - 7)), (i, masked[i])
+    assert masked[1].startswith(odd) and masked[4].startswith("path/sample") and "example-file" in masked[5]
+    assert masked[7] == texts[7] and masked[8] == texts[8] and masked[9] == "[SECRET]"
+
+
 def test_masked_texts(documents):
     df = documents(list(SECRETS.items()))
     masked = {r["doc_id"]: r for r in secret_scan.mask_secrets(df).collect()}
