@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from paraspark.llm.common import cut_lineage, shuffle_partitions
+
 TURN = "struct<role:string,text:string>"
 
 
@@ -34,17 +37,41 @@ def conversation_turns(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame
     )
 
 
-def rejected_from_next(turns: DataFrame) -> DataFrame:
+def _followers(convs: DataFrame, wrap: bool) -> DataFrame:
+    """(conv, next): each conversation and the one with the next id among ``convs``.
+
+    Ids are dealt in ranges; the last of a range is followed by the first of the next one, of
+    which the driver holds one id a range.
+    """
+    ranges = shuffle_partitions(convs.sparkSession)
+    dealt = cut_lineage(
+        cut_lineage(convs).repartitionByRange(ranges, "conv").withColumn("range", F.spark_partition_id())
+    )
+    firsts = dealt.groupBy("range").agg(F.min("conv").alias("first")).orderBy("range").collect()
+    after = [r["first"] for r in firsts[1:]] + [firsts[0]["first"] if wrap else None for _ in firsts[:1]]
+    borders = convs.sparkSession.createDataFrame(
+        [(r["range"], n) for r, n in zip(firsts, after, strict=True)],
+        T.StructType([T.StructField("range", T.IntegerType()), T.StructField("first", dealt.schema["conv"].dataType)]),
+    )
+    ahead = F.lead("conv").over(Window.partitionBy("range").orderBy("conv"))
+    paired = dealt.withColumn("ahead", ahead).join(F.broadcast(borders), "range")
+    return paired.select("conv", F.coalesce("ahead", "first").alias("next")).where("next IS NOT NULL")
+
+
+def rejected_from_next(turns: DataFrame, wrap: bool = False) -> DataFrame:
     """Rejected counterparts of ``conversation_turns``: the last assistant turn, and what follows
     it, gives way to the last assistant turn of the conversation with the next id.
 
-    Conversations where one of the two is missing have no counterpart.
+    The next id is the next that has an assistant turn, whatever lies between; the last
+    conversation has the first one after it with ``wrap``, else no counterpart. Nor have
+    those without an assistant turn.
     """
     last = turns.where("role = 'assistant'").groupBy("conv").agg(
         F.max("place").alias("at"), F.max_by("text", "place").alias("reply")
     )
-    following = last.select((F.col("conv") - 1).alias("conv"), F.col("reply").alias("other"))
-    paired = last.select("conv", "at").join(following, "conv")
+    followers = _followers(turns.where("role = 'assistant'").select("conv").distinct(), wrap)
+    following = followers.join(last.select(F.col("conv").alias("next"), F.col("reply").alias("other")), "next")
+    paired = last.select("conv", "at").join(following.select("conv", "other"), "conv")
     kept = turns.join(paired.select("conv", "at"), "conv").where("place < at").select("conv", "place", "role", "text")
     return kept.unionByName(
         paired.select("conv", F.col("at").alias("place"), F.lit("assistant").alias("role"), F.col("other").alias("text"))

@@ -21,7 +21,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = preferences.conversation_turns(read_table(spark, sf_dir, "conversations"))
-    return preferences.format_preferences(turns, preferences.rejected_from_next(turns))
+    return preferences.format_preferences(turns, preferences.rejected_from_next(turns, wrap=True))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

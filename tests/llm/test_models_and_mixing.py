@@ -195,6 +195,28 @@ def test_preferences(spark):
     assert preferences.format_preferences(empty, empty).count() == 0
 
 
+def test_preferences_of_ids_with_gaps(spark):
+    ids = [-7, 2, 5, 40, 41, 1000, 10**12, *range(2000, 2600, 3)]
+    rows = [(i, 0, "user", "hi") for i in ids] + [(i, 1, "assistant", f"reply of {i}") for i in ids]
+    rows += [(i, 0, "user", "no reply") for i in (3, 42, 2001)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    own = preferences.conversation_turns(df)
+    ordered = sorted(ids)
+    want = {i: f"<|assistant|>\nreply of {n}<|end|>\n" for i, n in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    for wrap in (True, False):
+        got = preferences.format_preferences(own, preferences.rejected_from_next(own, wrap)).collect()
+        assert len(got) == len(ids) - (not wrap)
+        assert all(r["rejected"] == want[r["conv_id"]] for r in got)
+
+
+def test_every_conversation_with_a_reply_has_a_row(spark):
+    from paraspark.llm import registry
+
+    replied = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").select("conv_id").distinct()
+    got = registry.op3_preference_format(spark, SF).select("conv_id").collect()
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in replied.collect())
+
+
 @pytest.mark.parametrize("last", [5])
 def test_pipeline_keeps_the_columns(spark, last):
     import corpus_pipeline
