@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paraspark.llm import ann, bpe, fingerprints, license_scan, mixing, near_dedup, preferences, secret_scan, substring_dedup, toxicity
-from paraspark.llm.common import read_table
+from paraspark.llm import (
+    ann,
+    bpe,
+    filter_audit,
+    fingerprints,
+    license_scan,
+    mixing,
+    near_dedup,
+    preferences,
+    resampling,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
+from paraspark.llm.common import read_table, shared_dir
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +74,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents, model)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return filter_audit.audit_orders(filter_audit.count_masks(documents, labels))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/shard-maps/{uuid.uuid4().hex}"
+    return sharding.shard_digest(sharding.shard_documents(read_table(spark, sf_dir, "documents"), path))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return resampling.resample_digest(resampling.draw_sample(resampling.score_documents(documents, benchmark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan,
@@ -71,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_near_dedup,
         op10_toxicity,
+        op11_filter_audit,
+        op12_sharding,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in found}
 
@@ -99,5 +132,109 @@ FROM documents d LEFT JOIN covered c USING (doc_id) GROUP BY d.doc_id
 """
 
 
+_FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS body,
+         list_filter(string_split_regex(COALESCE(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents
+),
+flags AS (
+  SELECT part,
+         CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > MIN(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND l.quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND l.toxic = 1) AS toxic
+  FROM texts t
+),
+masks AS (
+  SELECT part, fails, COUNT(*) AS n, COUNT(*) FILTER (WHERE good) AS good, COUNT(*) FILTER (WHERE toxic) AS toxic
+  FROM flags GROUP BY ALL
+),
+letters AS (SELECT UNNEST(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (
+  SELECT o, s::INT AS s, substr(o, s::INT, 1) AS x, substr(o, 1, s::INT - 1) AS earlier, substr(o, 1, s::INT) AS upto
+  FROM orders, range(1, 6) r(s)
+),
+per_step AS (
+  SELECT part, o, s, x,
+         COALESCE(SUM(n) FILTER (WHERE translate(fails, upto, '') = fails), 0) AS kept,
+         COALESCE(SUM(n) FILTER (WHERE contains(fails, x) AND translate(fails, earlier, '') = fails), 0) AS removed,
+         COALESCE(SUM(n) FILTER (WHERE contains(fails, x) AND translate(fails, earlier, '') <> fails), 0) AS redundant,
+         COALESCE(SUM(n) FILTER (WHERE fails = x), 0) AS unique_fails,
+         COALESCE(SUM(good) FILTER (WHERE contains(fails, x) AND translate(fails, earlier, '') = fails), 0) AS good_lost,
+         COALESCE(SUM(toxic) FILTER (WHERE contains(fails, x) AND translate(fails, earlier, '') = fails), 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, o, s, x
+)
+SELECT part, o AS filter_order, s AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (SUM(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM per_step
+"""
+
+_RESAMPLING = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i)
+  )
+),
+raw_words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+target_words AS (
+  SELECT UNNEST(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark
+),
+per_doc AS (SELECT doc_id, w, COUNT(*) AS n FROM (SELECT doc_id, UNNEST(ws) AS w FROM raw_words) GROUP BY doc_id, w),
+vocabulary AS (
+  SELECT w, xor(list_reduce(
+           list_concat([4294967295], list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i::INT + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+         ), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM (SELECT w FROM per_doc UNION ALL SELECT w FROM target_words)), crc_table
+),
+raw_counts AS (SELECT bucket, SUM(n) AS s FROM per_doc JOIN vocabulary USING (w) GROUP BY bucket),
+target_counts AS (SELECT bucket, COUNT(*) AS t FROM target_words JOIN vocabulary USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT COALESCE(SUM(s), 0) FROM raw_counts) AS all_s, (SELECT COALESCE(SUM(t), 0) FROM target_counts) AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln((COALESCE(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+                                 / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM raw_counts LEFT JOIN target_counts USING (bucket), totals
+),
+weights AS (
+  SELECT doc_id, SUM(n) AS n, SUM(n * gain) AS total
+  FROM per_doc JOIN vocabulary USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+),
+scored AS (
+  SELECT d.doc_id, COALESCE(w.n, 0)::BIGINT AS n_features,
+         CASE WHEN w.n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM documents d LEFT JOIN weights w USING (doc_id)
+),
+placed AS (
+  SELECT doc_id, ROW_NUMBER() OVER (ORDER BY weight + noise DESC, doc_id) AS place, COUNT(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, weight + noise AS score,
+       CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": _SUBSTRING_DEDUP}
+    return {
+        "op7_substring_dedup": _SUBSTRING_DEDUP,
+        "op11_filter_audit": _FILTER_AUDIT,
+        "op13_importance_resampling": _RESAMPLING,
+    }
