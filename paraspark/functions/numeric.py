@@ -27,9 +27,9 @@ def ratio(numerator: str, denominator: str) -> str:
     return f"try_divide({numerator}, {denominator})"
 
 
-def total(x: str) -> str:
-    """Sum that is 0 when there is nothing to add."""
-    return f"coalesce(sum({x}), 0.0D)"
+def total(x: str, over: str = "") -> str:
+    """Sum, grouped or over a window, that is 0 when there is nothing to add."""
+    return f"coalesce(sum({x}) {over}, 0.0D)"
 
 
 def clip_negative(x: str) -> str:
@@ -49,12 +49,3 @@ def clamp(x: str, low: str, high: str) -> str:
 def at_least(x: str, bound: float) -> str:
     """``x`` raised to ``bound`` where it is lower; NULL stays NULL."""
     return f"CASE WHEN {x} < {bound} THEN {float(bound)!r}D ELSE {x} END"
-
-
-def equality_key(x: str) -> str:
-    """Text that is equal for doubles which agree to 12 significant digits.
-
-    Sums computed in parallel may differ in their last bits although their
-    inputs are the same; ``distinct`` has to run on this key, not on the sum.
-    """
-    return f"format_string('%.11e', {x})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paraspark.functions.numeric import clip_negative
 from paraspark.operators.identify import of_type
@@ -24,6 +25,12 @@ def blank_means(rows: DataFrame) -> DataFrame:
     )
 
 
+def blanks_of(blank_injections: DataFrame, injections: DataFrame) -> DataFrame:
+    """Blank injections that share their label, also a missing one, with any of the others."""
+    used = injections.selectExpr(f"{BATCH} AS __batch", "blank_label AS __label")
+    return blank_injections.join(used, F.expr(f"{BATCH} = __batch AND blank_label <=> __label"), "left_semi")
+
+
 def subtract_blanks(rows: DataFrame, means: DataFrame, params: AssayParams) -> DataFrame:
     """Ratio minus the assigned blank's mean, not below zero.
 

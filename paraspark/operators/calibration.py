@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from paraspark.functions.numeric import equality_key, ratio
+from paraspark.functions.numeric import ratio
+from paraspark.operators.identify import of_type
 from paraspark.operators.joins import aggregate
-from paraspark.schema import BATCH
+from paraspark.schema import BATCH, CALIBRATION
 
 # Fixed value: relative spread below which least squares calls a column constant.
 RANK_TOLERANCE = 1e-7
@@ -14,6 +15,16 @@ RANK_TOLERANCE = 1e-7
 MIXTURE_KEYS = (BATCH, "calibration_type", "chain_length")
 
 
+def calibration_injections(sequence: DataFrame, mixtures: DataFrame) -> DataFrame:
+    """Injections of the calibration samples that the mixture table knows.
+
+    They are few beside the samples; a semi-join with them reduces the peaks before anything is
+    done with those.
+    """
+    known = mixtures.select(BATCH, "sample_name")
+    return of_type(sequence, CALIBRATION).join(known, [BATCH, "sample_name"], "left_semi")
+
+
 def calibration_rows(summary: DataFrame, mixtures: DataFrame) -> DataFrame:
     """Chain totals of calibration samples, for the chains their mixture holds.
 
@@ -31,11 +42,11 @@ def calibration_rows(summary: DataFrame, mixtures: DataFrame) -> DataFrame:
 
 
 def calibration_points(rows: DataFrame) -> DataFrame:
-    """Distinct (mixture, chain, level, total)."""
-    keyed = rows.selectExpr("*", f"{equality_key('chain_total')} AS k")
-    return aggregate(
-        keyed, [*MIXTURE_KEYS, "calibration_level", "k"], chain_total="max(chain_total)"
-    ).drop("k")
+    """Distinct (mixture, chain, level, total).
+
+    Totals are exact sums, so samples with equal peaks have one point and others one each.
+    """
+    return rows.select(*MIXTURE_KEYS, "calibration_level", "chain_total").distinct()
 
 
 def fit_mixtures(rows: DataFrame) -> DataFrame:
@@ -50,8 +61,8 @@ def fit_mixtures(rows: DataFrame) -> DataFrame:
         *MIXTURE_KEYS,
         "stack(2, true, calibration_level, chain_total, false, CAST(NULL AS DOUBLE), chain_cl_degree)"
         " AS (is_point, x, y)",
-    ).selectExpr("*", f"{equality_key('y')} AS k")
-    unique = aggregate(entries, [*MIXTURE_KEYS, "is_point", "x", "k"], y="max(y)")
+    )
+    unique = entries.distinct()
     usable = "is_point AND x IS NOT NULL AND y IS NOT NULL"
     sums = aggregate(
         unique,

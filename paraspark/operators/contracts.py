@@ -8,25 +8,33 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from paraspark.functions.chemistry import identity_key
-from paraspark.operators.identify import of_type
-from paraspark.operators.joins import aggregate, attach
+from paraspark.operators.identify import label_blanks, of_type
+from paraspark.operators.joins import aggregate
 from paraspark.schema import BATCH, BLANK, EXPORT_KEYS, SAMPLE_TYPES, AssayTables
 
+# A cell of a wide export, and the hash that stands for it.
+PIVOT_KEYS = (*EXPORT_KEYS, "sample_name")
+HASHED = [BATCH, "h1", "h2"]
 
-def _counts(df: DataFrame, check: str, keys: Sequence[str]) -> DataFrame:
+
+def _key_text(keys: Sequence[str]) -> str:
     parts = ", ".join(f"coalesce(CAST({k} AS STRING), '<null>')" for k in keys) or "''"
+    return f"concat_ws('|', {parts}) AS key"
+
+
+def _counts(df: DataFrame, check: str, keys: Sequence[str]) -> DataFrame:
     return aggregate(df, [BATCH, *keys], n="count(*)").selectExpr(
-        f"'{check}' AS check_name", BATCH, f"concat_ws('|', {parts}) AS key", "n"
+        f"'{check}' AS check_name", BATCH, _key_text(keys), "n"
     )
 
 
-def key_counts(tables: AssayTables, rows: DataFrame) -> DataFrame:
-    """How often each key that must be unique occurs, over all checks."""
-    targets = tables.mass_list.selectExpr(BATCH, f"{identity_key('molecular_formula', 'mz')} AS ion")
-    labels = tables.blank_map.selectExpr(BATCH, "sample_name", "blank_sample AS blank_label")
-    blanks = attach(of_type(tables.sequence, BLANK), labels, [BATCH, "sample_name"])
+def table_counts(tables: AssayTables) -> DataFrame:
+    """How often each key of the tables beside the peaks occurs, over all checks."""
+    # A list that holds for all batches is checked under none.
+    batch = BATCH if BATCH in tables.mass_list.columns else f"CAST(NULL AS INT) AS {BATCH}"
+    targets = tables.mass_list.selectExpr(batch, f"{identity_key('molecular_formula', 'mz')} AS ion")
+    blanks = label_blanks(of_type(tables.sequence, BLANK), tables.blank_map)
     parts = [
-        _counts(rows, "pivot_key", [*EXPORT_KEYS, "sample_name"]),
         _counts(tables.sequence, "replicates_per_sample", ["sample_name"]),
         _counts(tables.sequence, "sequence_replicate", ["replicate"]),
         _counts(targets.filter("ion IS NOT NULL"), "mass_list_ion", ["ion"]),
@@ -39,15 +47,35 @@ def key_counts(tables: AssayTables, rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _with_hash(rows: DataFrame) -> DataFrame:
+    """Rows with 128 bits that stand for their wide key. Missing parts count with their place."""
+    columns = ", ".join(PIVOT_KEYS)
+    missing = ", ".join(f"{c} IS NULL" for c in PIVOT_KEYS)
+    return rows.selectExpr("*", f"xxhash64({columns}, {missing}) AS h1", f"xxhash64('key', {columns}, {missing}) AS h2")
+
+
+def pivot_key_counts(rows: DataFrame) -> DataFrame:
+    """How often each key of a wide row's cell occurs, by its hash: 20 bytes a key are shuffled, not nine columns."""
+    return aggregate(_with_hash(rows).select(BATCH, "h1", "h2"), HASHED, n="count(*)")
+
+
+def repeated_cells(rows: DataFrame) -> DataFrame:
+    """The wide keys that occur more than once; only their rows are grouped by them."""
+    repeated = pivot_key_counts(rows).filter("n > 1").select(*HASHED)
+    found = _with_hash(rows).join(repeated, HASHED, "left_semi")
+    return _counts(found, "pivot_key", PIVOT_KEYS)
+
+
 def duplicate_keys(tables: AssayTables, rows: DataFrame) -> DataFrame:
     """Keys that occur more than once."""
-    return key_counts(tables, rows).filter("n > 1")
+    return repeated_cells(rows).unionByName(table_counts(tables)).filter("n > 1")
 
 
 def key_summary(tables: AssayTables, rows: DataFrame) -> DataFrame:
     """Keys and duplicated keys per check and batch."""
+    cells = pivot_key_counts(rows).selectExpr("'pivot_key' AS check_name", BATCH, "n")
     return aggregate(
-        key_counts(tables, rows),
+        cells.unionByName(table_counts(tables).select("check_name", BATCH, "n")),
         ["check_name", BATCH],
         keys_checked="count(*)",
         duplicate_keys="count_if(n > 1)",

@@ -1,8 +1,9 @@
 """Chain totals, homologue shares and chlorine content.
 
 The share-weighted chlorine content of a chain is the ratio of two sums, so one
-grouped aggregation yields it together with the total. Nothing here runs a
-window over peak rows: a hot (sample, chain) is combined on the map side.
+grouped aggregation yields it together with the total. Summaries never hold peak rows
+together: a hot (sample, chain) is combined on the map side. Shares need a row beside its chain's
+total; that window's groups are what the mass list has for one chain.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from paraspark.functions.exact import AREAS, RATIOS, exact_sum
 from paraspark.functions.numeric import ratio, total
 from paraspark.operators.identify import ISTD_CANDIDATE, injection_types
 from paraspark.operators.joins import aggregate, attach
@@ -56,14 +58,15 @@ def summarize_chains_early(matched: DataFrame, sequence: DataFrame) -> DataFrame
     The standard's area is one number per injection, so areas are added up per
     (injection, chain) first and divided afterwards: peaks are read once and
     only chain-level rows are shuffled. The window runs on those rows, where an
-    injection has no more rows than the mass list has chains.
+    injection has no more rows than the mass list has chains. Both sums are exact, so equal
+    samples have equal totals, which the calibration tells apart.
     """
     kept = f"retention_time IS NOT NULL AND row_identity != '{ISTD_IDENTITY}'"
     per_injection = aggregate(
         matched,
         [BATCH, "replicate", "chain_length"],
-        area=f"sum(peak_area) FILTER (WHERE {kept})",
-        weighted_area=f"sum(cl_degree * peak_area) FILTER (WHERE {kept})",
+        area=exact_sum("peak_area", AREAS, kept),
+        weighted_area=exact_sum("cl_degree * peak_area", AREAS, kept),
         istd_candidate=f"max({ISTD_CANDIDATE})",
         homologues=f"count_if({kept})",
     )
@@ -75,23 +78,30 @@ def summarize_chains_early(matched: DataFrame, sequence: DataFrame) -> DataFrame
         named,
         CHAIN_KEYS,
         is_calibration=_IS_CALIBRATION,
-        chain_total=total(ratio("area", "istd_area")),
-        weighted=f"sum({ratio('weighted_area', 'istd_area')})",
+        chain_total=f"coalesce({exact_sum(ratio('area', 'istd_area'), RATIOS)}, 0.0D)",
+        weighted=exact_sum(ratio("weighted_area", "istd_area"), RATIOS),
     )
     return grouped.selectExpr(*CHAIN_KEYS, "is_calibration", "chain_total", _content(""))
 
 
-def distribute(rows: DataFrame, summary: DataFrame, variants: Sequence[str] = VARIANTS) -> DataFrame:
+def distribute(rows: DataFrame, variants: Sequence[str] = VARIANTS) -> DataFrame:
     """Homologue rows with their chain's totals and their share in percent.
 
-    Exact duplicates are not removed: the pivot key check of the contracts
-    rejects them before, as the wide raw export does.
+    The rows are exchanged once, by chain, and read once: totals are sums over the rows beside
+    them. One sample's chain has as many rows as the mass list has homologues of it; where a name
+    is used again or rows repeat, which the contract checks report, groups are larger and spill.
+    Exact duplicates are not removed: the pivot key check rejects them before, as the wide raw
+    export does.
     """
-    joined = attach(
-        rows,
-        summary.drop("is_calibration"),
-        CHAIN_KEYS,
-        null_safe=CHAIN_KEYS[1:],
+    over = f"OVER (PARTITION BY {', '.join(CHAIN_KEYS)})"
+    totals, contents, shares = [], [], []
+    for v in variants:
+        totals += [f"{total(f'ratio{v}', over)} AS chain_total{v}", f"sum(cl_degree * ratio{v}) {over} AS weighted{v}"]
+        contents.append(_content(v))
+        shares.append(f"{ratio(f'ratio{v}', f'chain_total{v}')} * 100 AS share_pct{v}")
+    dropped = ", ".join(f"weighted{v}" for v in variants)
+    return (
+        rows.selectExpr("*", *totals)
+        .selectExpr("*", *contents, *shares)
+        .selectExpr(f"* EXCEPT ({dropped})")
     )
-    shares = [f"{ratio(f'ratio{v}', f'chain_total{v}')} * 100 AS share_pct{v}" for v in variants]
-    return joined.selectExpr("*", *shares)

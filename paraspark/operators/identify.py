@@ -25,6 +25,8 @@ IDENTIFIED_COLUMNS = (
 
 # A matched peak's contribution to the standard area of its injection.
 ISTD_CANDIDATE = "CASE WHEN is_istd THEN peak_area ELSE 0.0D END"
+# What a target's formula says.
+_PARSED = ("chain_length", "cl_no", "cl_degree")
 
 
 def prepare_targets(
@@ -33,32 +35,50 @@ def prepare_targets(
     """Mass list with its join key and everything that depends on the formula.
 
     Carbons, chlorines and Cl% follow from the target alone, so the text is
-    parsed once per target here and never per peak.
+    parsed once per target here and never per peak. A list without batches holds for all of them and
+    stays as small however many there are; which of its targets is the standard of a batch with
+    a formula of its own is told by :func:`match_targets`.
     """
     istd = chem.quoted(params.istd_formula)
     targets = mass_list
-    if run_params is not None:
+    if run_params is not None and BATCH in mass_list.columns:
         targets = attach(targets, run_params.selectExpr(BATCH, "istd_formula AS run_istd"), [BATCH])
         istd = f"coalesce(run_istd, {istd})"
     labelled = targets.selectExpr(
-        BATCH,
+        *[c for c in (BATCH,) if c in targets.columns],
         "molecular_formula AS formula",
         f"{chem.mz_key('mz')} AS mz_key",
         f"molecular_formula = {istd} AS is_istd",
-        f"CASE WHEN molecular_formula = {istd} THEN '{ISTD_LABEL}' ELSE molecular_formula END AS molecular_formula",
+        "molecular_formula",
         f"{finite('retention_time')} AS retention_time",
         "row_identity",
-    ).filter("molecular_formula IS NOT NULL")
+    )
     chlorines = chem.chlorine_count("molecular_formula", params.formula_mode)
     parsed = labelled.selectExpr(
         "*",
         f"{chem.carbon_count('molecular_formula')} AS chain_length",
         f"{chem.in_domain(chlorines, params.cl_min, params.cl_max)} AS cl_no",
+    ).selectExpr("*", f"{chem.chlorine_percent('chain_length', 'cl_no')} AS cl_degree")
+    if BATCH in targets.columns or run_params is None:
+        parsed = _label_istd(parsed)
+    # Said of the label, which all branches join on, so that none adds it on its own.
+    return parsed.filter("molecular_formula IS NOT NULL")
+
+
+def _label_istd(targets: DataFrame) -> DataFrame:
+    """The standard under its label; it has neither chain nor chlorines."""
+    homologue = "CASE WHEN NOT is_istd THEN {0} END AS {0}"
+    kept = [c for c in targets.columns if c not in ("molecular_formula", *_PARSED)]
+    return targets.selectExpr(
+        *kept,
+        f"CASE WHEN is_istd THEN '{ISTD_LABEL}' ELSE molecular_formula END AS molecular_formula",
+        *[homologue.format(c) for c in _PARSED],
     )
-    return parsed.selectExpr("*", f"{chem.chlorine_percent('chain_length', 'cl_no')} AS cl_degree")
 
 
-def match_targets(peaks: DataFrame, targets: DataFrame) -> DataFrame:
+def match_targets(
+    peaks: DataFrame, targets: DataFrame, params: AssayParams | None = None, run_params: DataFrame | None = None
+) -> DataFrame:
     """Peaks found on the mass list, one row per (peak, target).
 
     Peaks without a target have no retention time and leave the pipeline
@@ -72,37 +92,62 @@ def match_targets(peaks: DataFrame, targets: DataFrame) -> DataFrame:
         f"{chem.mz_key('mz')} AS mz_key",
         f"{number('area_raw')} AS peak_area",
     )
-    return keyed.join(targets, [BATCH, "formula", "mz_key"]).drop("formula", "mz_key")
+    keys = [c for c in (BATCH, "formula", "mz_key") if c in targets.columns]
+    found = keyed.join(targets, keys)
+    if BATCH not in keys and run_params is not None:
+        runs = run_params.selectExpr(BATCH, "istd_formula AS run_istd")
+        istd = f"coalesce(run_istd, {chem.quoted((params or AssayParams()).istd_formula)})"
+        own = attach(found, runs, [BATCH]).selectExpr("* EXCEPT (is_istd, run_istd)", f"formula = {istd} AS is_istd")
+        found = _label_istd(own)
+    return found.drop("formula", "mz_key")
 
 
 def unmatched_peaks(peaks: DataFrame, targets: DataFrame) -> DataFrame:
     """Peaks without any mass-list entry, counted per ion."""
     keyed = peaks.selectExpr(BATCH, "formula", "mz", f"{chem.mz_key('mz')} AS mz_key")
-    keys = [BATCH, "formula", "mz_key"]
+    keys = [c for c in (BATCH, "formula", "mz_key") if c in targets.columns]
     lost = keyed.join(targets.select(*keys), keys, "left_anti")
     return aggregate(lost, [BATCH, "formula", "mz"], peaks="count(*)")
 
 
+def peaks_of(peaks: DataFrame, injections: DataFrame) -> DataFrame:
+    """Peaks of the given injections, reduced before they meet the mass list."""
+    return peaks.join(injections.select(BATCH, "replicate"), [BATCH, "replicate"], "left_semi")
+
+
 def istd_areas(matched: DataFrame) -> DataFrame:
-    """Internal-standard area of every injection: 0 when it has none.
+    """What the peaks say of their injection, in one aggregate.
 
-    Runs over all matched peaks, before the retention-time filter. A grouped
-    maximum combines on the map side, so a hot injection costs one row per task.
+    The internal standard's area, 0 when there is none, runs over all matched peaks, before the
+    retention-time filter; ``identified`` and ``homologues`` count the rows that pass it, with
+    and without the standard. All combine on the map side, so a hot injection costs one row per task.
     """
-    return aggregate(matched, [BATCH, "replicate"], istd_area=f"max({ISTD_CANDIDATE})")
+    kept = "retention_time IS NOT NULL"
+    return aggregate(
+        matched,
+        [BATCH, "replicate"],
+        istd_area=f"max({ISTD_CANDIDATE})",
+        identified=f"count_if({kept})",
+        homologues=f"count_if({kept} AND row_identity != '{ISTD_IDENTITY}')",
+    )
 
 
 def injection_types(sequence: DataFrame) -> DataFrame:
     return sequence.select(BATCH, "replicate", "sample_name", "sample_type")
 
 
-def describe_injections(istd: DataFrame, sequence: DataFrame, blank_map: DataFrame) -> DataFrame:
-    """One row per injection with sample, type, standard area and blank label."""
-    injections = attach(istd, injection_types(sequence), [BATCH, "replicate"])
+def label_blanks(injections: DataFrame, blank_map: DataFrame) -> DataFrame:
+    """Injections with the label of their assigned blank."""
     labels = blank_map.selectExpr(BATCH, "sample_name", "blank_sample AS blank_label")
     return attach(injections, labels, [BATCH, "sample_name"])
 
 
+def describe_injections(istd: DataFrame, sequence: DataFrame, blank_map: DataFrame) -> DataFrame:
+    """One row per injection with sample, type, standard area, row counts and blank label."""
+    injections = attach(istd, injection_types(sequence), [BATCH, "replicate"])
+    return label_blanks(injections, blank_map)
+
+
 def identified_rows(matched: DataFrame, injections: DataFrame, how: str = "inner") -> DataFrame:
     """Peaks with a retention time and the columns of their injection.
 
@@ -112,7 +157,7 @@ def identified_rows(matched: DataFrame, injections: DataFrame, how: str = "inner
     spares the pass over the peaks that finds their standard.
     """
     known = matched.filter("retention_time IS NOT NULL").drop("is_istd")
-    return attach(known, injections, [BATCH, "replicate"], how=how)
+    return attach(known, injections.drop("identified", "homologues"), [BATCH, "replicate"], how=how)
 
 
 def normalize(rows: DataFrame) -> DataFrame:

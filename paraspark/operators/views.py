@@ -28,6 +28,16 @@ def first_samples(names: DataFrame, k: int) -> DataFrame:
     return names.selectExpr("*", rank).filter(f"position <= {int(k)}").drop("position")
 
 
+def first_sample_rows(rows: DataFrame, k: int) -> DataFrame:
+    """The rows of the first ``k`` names of each batch, in name order.
+
+    Ranks are those of the names, so no list of them is derived and joined back. Every task is cut
+    to the rows of its own first ``k`` names per batch before the shuffle.
+    """
+    rank = f"dense_rank() OVER (PARTITION BY {BATCH} ORDER BY sample_name) AS position"
+    return rows.selectExpr("*", rank).filter(f"position <= {int(k)}").drop("position")
+
+
 def select_samples(rows: DataFrame, samples: Sequence[str] | DataFrame | None) -> DataFrame:
     """Rows of the chosen samples: names, a (batch, name) table, or all named ones.
 
@@ -41,9 +51,10 @@ def select_samples(rows: DataFrame, samples: Sequence[str] | DataFrame | None) -
     return rows.filter(F.col("sample_name").isin(*samples))
 
 
-def istd_points(rows: DataFrame) -> DataFrame:
-    """Distinct standard areas."""
-    return rows.select(BATCH, "sample_name", "istd_area", "sample_type").distinct()
+def istd_points(injections: DataFrame) -> DataFrame:
+    """Distinct standard areas of the injections that have identified rows."""
+    seen = injections.filter("identified > 0")
+    return seen.select(BATCH, "sample_name", "istd_area", "sample_type").distinct()
 
 
 def istd_limits(points: DataFrame) -> DataFrame:

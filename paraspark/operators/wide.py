@@ -20,60 +20,45 @@ from paraspark.schema import BATCH
 SHEET_WIDTH = 24
 # A sheet's slots are checked with one bit each of a long.
 MAX_SHEET_WIDTH = 63
-# Names drawn for each split point.
-_DRAWN = 8
+# Characters that tell runs of names apart.
+RUN_CHARS = 2
 
 
 def slot_names(width: int = SHEET_WIDTH) -> list[str]:
     return [f"s{i:02d}" for i in range(width)]
 
 
-def split_points(samples: DataFrame, group: Sequence[str]) -> list[tuple]:
-    """Sorted (group, name) values that cut the samples into about as many runs as there are
-    shuffle partitions. They only balance work; the driver gets a fixed number of names."""
-    order = [*group, "sample_name"]
-    runs = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = (
-        samples.select(*order)
-        .where(" AND ".join(f"{c} IS NOT NULL" for c in order))
-        .distinct()
-        .orderBy(F.xxhash64(*order), *order)
-        .limit(runs * _DRAWN)
-        .collect()
-    )
-    return sorted(map(tuple, drawn))[_DRAWN::_DRAWN]
-
-
-def sheet_layout(
-    samples: DataFrame, group: Sequence[str], width: int = SHEET_WIDTH, points: Sequence[tuple] = ()
-) -> DataFrame:
+def sheet_layout(samples: DataFrame, group: Sequence[str], width: int = SHEET_WIDTH) -> DataFrame:
     """Give every sample of a group its sheet and slot, in name order.
 
-    Ranks are exact whatever the ``points``: names are numbered within the run
-    between two of them, and shifted by the sizes of the group's earlier runs. So no
-    group is sorted in one task, and nothing has to be kept between jobs.
+    Names are numbered within runs and shifted by the sizes of the group's earlier runs, so no group
+    is sorted in one task. A run is the names that agree in the ``RUN_CHARS`` characters behind
+    the beginning which all names of their group share: runs stand in name order, whatever the
+    names, and an aggregate of the group's first and last name finds that beginning.
     """
     if not 1 <= width <= MAX_SHEET_WIDTH:
         raise ValueError(f"sheet width must lie in 1..{MAX_SHEET_WIDTH}")
-    order = [*group, "sample_name"]
-    key = F.struct(*order)
-    run = F.lit(0)
-    if points:
-        kinds = [samples.schema[c].dataType for c in order]
-        literals = [
-            F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(point, kinds, order, strict=True)]) for point in points
-        ]
-        run = F.size(F.filter(F.array(*literals), lambda x: x <= key))
-    placed = samples.select(*order).distinct().withColumn("run", run)
+    order, group = [*group, "sample_name"], list(group)
+    names = samples.select(*order).distinct()
+    shared = (
+        "size(filter(sequence(0, least(length(low), length(high))),"
+        " i -> i > 0 AND substring(low, 1, i) = substring(high, 1, i)))"
+    )
+    ends = aggregate(samples, group, low="min(sample_name)", high="max(sample_name)").selectExpr(
+        *group, f"{shared} AS shared"
+    )
+    placed = attach(names, ends, group, null_safe=group).selectExpr(
+        *order, f"substring(sample_name, shared + 1, {RUN_CHARS}) AS run"
+    )
     runs = [*group, "run"]
     keys = ", ".join(runs)
     numbered = placed.selectExpr("*", f"row_number() OVER (PARTITION BY {keys} ORDER BY sample_name) - 1 AS place")
-    by_group = f"PARTITION BY {', '.join(group)} " if group else ""
     starts = aggregate(placed, runs, n="count(*)").selectExpr(
         *runs,
-        f"coalesce(sum(n) OVER ({by_group}ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
+        f"coalesce(sum(n) OVER (PARTITION BY {', '.join(group)} ORDER BY run"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
     )
-    return attach(numbered, starts, runs).selectExpr(
+    return attach(numbered, starts, runs, null_safe=runs).selectExpr(
         *order,
         f"CAST((start + place) DIV {width} AS INT) AS sheet",
         f"CAST((start + place) % {width} AS INT) AS slot",
@@ -106,6 +91,24 @@ def to_sheets(rows: DataFrame, keys: Sequence[str], value: str, width: int = SHE
     return wide.selectExpr(*keys, f"CAST({sheet} AS INT) AS sheet", *columns)
 
 
+def with_positions(sheets: DataFrame, group: Sequence[str], order: Sequence[str], run: Sequence[str]) -> DataFrame:
+    """Each row's place, from 1, in the order its group is written in.
+
+    A run, the first columns of the order, is a sheet: as many rows as the mass list has
+    targets. Rows are numbered within their run and shifted by the sizes of the group's earlier ones.
+    """
+    keys, within = ", ".join([*group, *run]), ", ".join(c for c in order if c not in (*group, *run))
+    numbered = sheets.selectExpr("*", f"row_number() OVER (PARTITION BY {keys} ORDER BY {within}) AS nth")
+    starts = aggregate(sheets, [*group, *run], n="count(*)").selectExpr(
+        *group,
+        *run,
+        f"coalesce(sum(n) OVER (PARTITION BY {', '.join(group)} ORDER BY {', '.join(run)}"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
+    )
+    joined = attach(numbered, starts, [*group, *run])
+    return joined.selectExpr("* EXCEPT (nth, start)", "start + nth AS position")
+
+
 def to_named_sheet(rows: DataFrame, keys: Sequence[str], value: str, names: Sequence[str]) -> DataFrame:
     """Long to wide with the given sample names as columns, for the samples of one batch."""
     chosen = rows.filter(F.col("sample_name").isin(*names))

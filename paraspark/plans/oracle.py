@@ -63,6 +63,71 @@ rows_ AS (
   JOIN standards st ON st.batch_id = p.batch_id AND st.s = p.s
 )"""
 
+# The same over the irregular tables: see the data's module for what differs.
+_IRREGULAR = """
+cells AS (
+  SELECT CAST(1 + l_orderkey % 2 AS INTEGER) AS batch_id, l_suppkey AS s,
+         10 + p_size % 9 AS n, 3 + l_partkey % 11 AS m,
+         SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS cents
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  GROUP BY 1, 2, 3, 4
+),
+standards AS (
+  SELECT CAST(1 + l_orderkey % 2 AS INTEGER) AS batch_id, l_suppkey AS s,
+         CASE WHEN l_suppkey % 10 = 7 THEN 0 ELSE CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) END AS istd_area
+  FROM lineitem WHERE NOT (l_suppkey % 10 = 7 AND l_orderkey % 2 = 0) GROUP BY 1, 2
+),
+injections AS (
+  SELECT b.batch_id, s_suppkey AS s, 'S' || s_suppkey AS sample_name,
+         CASE WHEN s_suppkey % 10 = 0 AND b.batch_id = 2 THEN NULL
+              WHEN s_suppkey % 10 = 1 THEN 'Blank'
+              WHEN s_suppkey % 10 BETWEEN 2 AND 5 THEN 'Calibration'
+              WHEN s_suppkey % 10 = 6 THEN 'QC' ELSE 'Sample' END AS sample_type,
+         CASE WHEN s_suppkey % 10 <> 9 AND s_suppkey <> 1 THEN 'BLK' || (s_suppkey // 10) END AS blank_label
+  FROM supplier, (VALUES (1), (2)) AS b(batch_id)
+),
+mixtures AS (
+  SELECT batch_id, sample_name, 'MIX' || (s % 10) AS calibration_type,
+         CAST(1 + (s // 10) % 5 AS DOUBLE) AS calibration_level,
+         CASE s % 10 WHEN 2 THEN '10,11,12,13' WHEN 3 THEN '12,13,14,15'
+                     WHEN 4 THEN '10,11,12,13,14,15,16,17,18' ELSE '10,12,14,16' END AS chain_length_info
+  FROM injections WHERE s % 10 BETWEEN 2 AND 5
+),
+once AS (
+  SELECT batch_id, s, n, m,
+         'C' || n || 'H' || (2 * n + 2 - m) || 'Cl' || m AS formula,
+         n * 12.0e0 + m * 34.96885e0 + (n * 2 + 2 - m) * 1.007825e0 AS mz,
+         CASE WHEN (s + n + m) % 37 = 0 THEN NULL
+              WHEN (s + n + m) % 31 = 0 THEN 'NaN'
+              WHEN (s + n + m) % 29 = 0 THEN 'n.d.' END AS unreadable,
+         CASE WHEN (s + n + m) % 37 = 0 OR (s + n + m) % 31 = 0 OR (s + n + m) % 29 = 0 THEN NULL
+              WHEN n = 16 AND s % 10 BETWEEN 2 AND 5 THEN CAST(cents * (10 + m * (s % 4)) AS DOUBLE) / 1000 / 1000000
+              WHEN s % 10 = 1 THEN CAST(cents * (10 + m * (s % 4)) AS DOUBLE) / 1000 / 50
+              ELSE CAST(cents * (10 + m * (s % 4)) AS DOUBLE) / 1000 END AS peak_area
+  FROM cells
+),
+all_peaks AS (
+  SELECT * FROM once UNION ALL SELECT * FROM once WHERE s % 10 = 3 AND n = 11
+),
+peaks AS (
+  SELECT batch_id, s, CAST(n AS INTEGER) AS chain_length,
+         CASE WHEN m BETWEEN 4 AND 12 THEN CAST(m AS INTEGER) END AS cl_no, mz,
+         n * 0.5e0 + m * 0.25e0 AS retention_time,
+         'C' || n || '_Cl' || lpad(CAST(m AS VARCHAR), 2, '0') AS row_identity,
+         formula AS molecular_formula, peak_area
+  FROM all_peaks WHERE m <= 12 AND NOT (n = 13 AND m = 5)
+  UNION ALL
+  SELECT batch_id, s, NULL, NULL, 355.97185e0, 7.5e0, '000_ISTD', 'ISTD', istd_area FROM standards
+),
+rows_ AS (
+  SELECT p.batch_id, i.sample_name, i.sample_type, i.blank_label, p.mz, p.retention_time, p.row_identity,
+         p.molecular_formula, p.peak_area, COALESCE(st.istd_area, 0) AS istd_area, p.chain_length, p.cl_no,
+         p.peak_area / NULLIF(COALESCE(st.istd_area, 0), 0) AS ratio
+  FROM peaks p
+  JOIN injections i ON i.batch_id = p.batch_id AND i.s = p.s
+  LEFT JOIN standards st ON st.batch_id = p.batch_id AND st.s = p.s
+)"""
+
 _BLANKS = """,
 means AS (
   SELECT batch_id, molecular_formula, sample_name, blank_label, COALESCE(AVG(ratio), 0) AS blank_ratio
@@ -73,7 +138,7 @@ _SUBTRACTED = """,
 net AS (
   SELECT r.*,
          CASE WHEN r.sample_type = 'Calibration' THEN r.ratio {passthrough}
-              ELSE r.ratio - b.blank_ratio END AS net
+              WHEN r.sample_type IS NOT NULL THEN r.ratio - b.blank_ratio END AS net
   FROM rows_ r LEFT JOIN means b
     ON b.batch_id = r.batch_id AND b.molecular_formula = r.molecular_formula
    AND b.blank_label IS NOT DISTINCT FROM r.blank_label
@@ -115,7 +180,7 @@ cal AS (
 ),
 points AS (
   SELECT batch_id, calibration_type, chain_length, calibration_level, MAX(chain_total) AS chain_total
-  FROM cal GROUP BY 1, 2, 3, 4, printf('%.11e', chain_total)
+  FROM cal GROUP BY 1, 2, 3, 4, chain_total
 ),
 lines AS (
   SELECT batch_id, calibration_type, chain_length,
@@ -127,7 +192,7 @@ lines AS (
 contents AS (
   SELECT batch_id, calibration_type, chain_length, AVG(chain_cl_degree) AS cl_degree FROM (
     SELECT batch_id, calibration_type, chain_length, MAX(chain_cl_degree) AS chain_cl_degree
-    FROM cal GROUP BY 1, 2, 3, printf('%.11e', chain_cl_degree)
+    FROM cal GROUP BY 1, 2, 3, chain_cl_degree
   ) GROUP BY 1, 2, 3
 ),
 mix AS (
@@ -136,7 +201,7 @@ mix AS (
 ),
 chain_fits AS (
   SELECT batch_id, chain_length, MIN(cl_degree) AS min_cl_degree, MAX(cl_degree) AS max_cl_degree,
-         REGR_SXX(slope, cl_degree) >= 1e-14 * SUM(cl_degree * cl_degree) AS varies, AVG(slope) AS mean_response,
+         REGR_SXX(slope, cl_degree) >= 1e-14 * SUM(cl_degree * cl_degree) AND REGR_SXX(slope, cl_degree) > 0 AS varies, AVG(slope) AS mean_response,
          REGR_INTERCEPT(slope, cl_degree) AS a, REGR_SLOPE(slope, cl_degree) AS b, REGR_R2(slope, cl_degree) AS r2
   FROM mix GROUP BY 1, 2
 ),
@@ -205,6 +270,11 @@ _THROUGH_PASSTHROUGH = _THROUGH_BLANKS + _SUBTRACTED.format(passthrough=_PASS)
 _THROUGH_CHAINS = _THROUGH_SUBTRACTED + _HOMOLOGUES
 _THROUGH_CALIBRATION = _THROUGH_CHAINS + _CALIBRATION
 _THROUGH_RESULTS = _THROUGH_CALIBRATION + _RESULTS
+_IRREGULAR_SUBTRACTED = _IRREGULAR + _BLANKS + _SUBTRACTED.format(passthrough="")
+_IRREGULAR_CHAINS = _IRREGULAR_SUBTRACTED + _HOMOLOGUES
+_IRREGULAR_CALIBRATION = _IRREGULAR_CHAINS + _CALIBRATION
+_VOLUME = "* CASE WHEN batch_id = 2 THEN 50 ELSE 100 END"
+_IRREGULAR_RESULTS = _IRREGULAR_CALIBRATION + _RESULTS.replace("* 100", _VOLUME)
 _THROUGH_PASSTHROUGH_RESULTS = _THROUGH_PASSTHROUGH + _HOMOLOGUES + _CALIBRATION + _RESULTS
 
 _ROW_KEYS = "batch_id, sample_name, sample_type, row_identity, molecular_formula, chain_length, cl_no"
@@ -337,23 +407,42 @@ def _chain_measure(name: str) -> str:
     return _sql(_THROUGH_CHAINS, f"SELECT batch_id, sample_name, sample_type, chain_length, {_r(name)} FROM chains")
 
 
-_QC_KEYS = """,
+def _text(*columns: str) -> str:
+    return " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '<null>')" for c in columns)
+
+
+_PIVOT_KEYS = (
+    "mz", "retention_time", "row_identity", "molecular_formula", "sample_type", "chain_length", "cl_no", "sample_name",
+)
+
+
+def _qc_keys(unlisted: str) -> str:
+    """Counts of every key that must be unique; ``unlisted`` injections have no assigned blank."""
+    return f""",
+listed AS (SELECT * FROM injections WHERE NOT ({unlisted})),
 key_counts AS (
-  SELECT 'pivot_key' AS check_name, batch_id, COUNT(*) AS n FROM rows_
-    GROUP BY batch_id, mz, retention_time, row_identity, molecular_formula, sample_type, chain_length, cl_no, sample_name
-  UNION ALL SELECT 'replicates_per_sample', batch_id, COUNT(*) FROM injections GROUP BY batch_id, sample_name
-  UNION ALL SELECT 'sequence_replicate', batch_id, COUNT(*) FROM injections GROUP BY batch_id, s
-  UNION ALL SELECT 'mass_list_ion', b.batch_id, COUNT(*)
+  SELECT 'pivot_key' AS check_name, batch_id, {_text(*_PIVOT_KEYS)} AS key, COUNT(*) AS n
+    FROM rows_ GROUP BY batch_id, {", ".join(_PIVOT_KEYS)}
+  UNION ALL SELECT 'replicates_per_sample', batch_id, {_text("sample_name")}, COUNT(*) FROM injections
+    GROUP BY batch_id, sample_name
+  UNION ALL SELECT 'sequence_replicate', batch_id, {_text("sample_name")}, COUNT(*) FROM injections
+    GROUP BY batch_id, sample_name
+  UNION ALL SELECT 'mass_list_ion', b.batch_id, n || ' ' || m, COUNT(*)
     FROM range(10, 19) AS c(n), range(3, 13) AS k(m), (VALUES (1), (2)) AS b(batch_id) GROUP BY b.batch_id, n, m
-  UNION ALL SELECT 'mass_list_ion', b.batch_id, 1 FROM (VALUES (1), (2)) AS b(batch_id)
-  UNION ALL SELECT 'calibration_sample', batch_id, COUNT(*) FROM mixtures GROUP BY batch_id, sample_name
-  UNION ALL SELECT 'blank_map_sample', batch_id, COUNT(*) FROM injections
-    WHERE blank_label IS NOT NULL GROUP BY batch_id, sample_name
-  UNION ALL SELECT 'blanks_per_label', batch_id, COUNT(*) FROM injections
+  UNION ALL SELECT 'mass_list_ion', b.batch_id, 'standard', 1 FROM (VALUES (1), (2)) AS b(batch_id)
+  UNION ALL SELECT 'calibration_sample', batch_id, {_text("sample_name")}, COUNT(*) FROM mixtures
+    GROUP BY batch_id, sample_name
+  UNION ALL SELECT 'blank_map_sample', batch_id, {_text("sample_name")}, COUNT(*) FROM listed
+    GROUP BY batch_id, sample_name
+  UNION ALL SELECT 'blanks_per_label', batch_id, {_text("blank_label")}, COUNT(*) FROM injections
     WHERE sample_type = 'Blank' GROUP BY batch_id, blank_label
 )"""
 
 
+_QC_KEYS = _qc_keys("s % 10 = 9")
+_IRREGULAR_QC_KEYS = _qc_keys("s % 10 = 9 OR s = 1")
+
+
 _NAMED = "sample_name IN ('S1', 'S7', 'S8')"
 
 
@@ -373,6 +462,21 @@ def _calibration_report(where: str) -> str:
     )
 
 
+# Queries on a stored stage, or on files written and read again, and those they must equal.
+STAGED = {
+    "staged_raw_export_wide": "raw_export_wide",
+    "staged_normalized_export_wide_bs": "normalized_export_wide_bs",
+    "staged_homologues": "homologues",
+    "staged_calibration_report": "calibration_report",
+    "staged_concentration_report": "concentration_report",
+    "staged_concentration_report_bs": "concentration_report_bs",
+    "staged_chain_bars_bs": "chain_bars_bs",
+    "csv_concentration_report": "concentration_report",
+    "csv_identified_peaks": "identified_peaks",
+    "shared_list_report": "concentration_report",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "identified_peaks": _sql(
@@ -476,7 +580,14 @@ def oracle_sql() -> dict[str, str]:
             " FROM rows_ GROUP BY batch_id",
         ),
         "qc_duplicate_keys": _sql(
-            _INPUT + _QC_KEYS, "SELECT check_name, batch_id, '' AS key, n FROM key_counts WHERE n > 1"
+            _IRREGULAR + _IRREGULAR_QC_KEYS, "SELECT check_name, batch_id, key, n FROM key_counts WHERE n > 1"
+        ),
+        "irregular_key_summary": _sql(
+            _IRREGULAR + _IRREGULAR_QC_KEYS
+            + ", all_counts AS (SELECT check_name, batch_id, n FROM key_counts"
+            " UNION ALL SELECT 'run_params_batch', 2, 1)",
+            "SELECT check_name, batch_id, COUNT(*) AS keys_checked, COUNT(*) FILTER (WHERE n > 1) AS duplicate_keys"
+            " FROM all_counts GROUP BY 1, 2",
         ),
         "qc_key_summary": _sql(
             _INPUT + _QC_KEYS,
@@ -484,7 +595,7 @@ def oracle_sql() -> dict[str, str]:
             " FROM key_counts GROUP BY 1, 2",
         ),
         "qc_istd_missing": _sql(
-            _INPUT,
+            _IRREGULAR,
             "SELECT DISTINCT batch_id, sample_name AS replicate, sample_name, sample_type, istd_area"
             " FROM rows_ WHERE istd_area IS NULL OR istd_area = 0",
         ),
@@ -495,6 +606,52 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     sql["profile_absolute_named"] = _absolute("", _NAMED)
+    sql |= {
+        "irregular_peaks": _sql(
+            _IRREGULAR, f"SELECT {_ROW_KEYS}, {_r('mz', 'retention_time', 'peak_area', 'istd_area')} FROM rows_"
+        ),
+        "irregular_homologues": _sql(
+            _IRREGULAR_CHAINS,
+            f"SELECT {_ROW_KEYS}, "
+            + _r(
+                "mz", "retention_time", "peak_area", "istd_area", "ratio", "ratio_bs", "chain_total",
+                "chain_total_bs", "share_pct", "share_pct_bs", "cl_degree", "chain_cl_degree", "chain_cl_degree_bs",
+            )
+            + " FROM homologues",
+        ),
+        "irregular_calibration_points": _sql(
+            _IRREGULAR_CALIBRATION,
+            f"SELECT batch_id, calibration_type, chain_length, calibration_level, {_r('chain_total')} FROM points",
+        ),
+        "irregular_chain_calibration": _sql(
+            _IRREGULAR_CALIBRATION,
+            "SELECT batch_id, chain_length,"
+            f" {_r('min_cl_degree', 'max_cl_degree', 'intercept', 'slope', 'r_squared')} FROM chain_cal",
+        ),
+        "irregular_concentrations": _sql(
+            _IRREGULAR_RESULTS,
+            "SELECT batch_id, sample_name, sample_type, chain_length, cp_type,"
+            f" {_r('cl_degree_f', 'rf', 'conc', 'cl_degree_f_bs', 'rf_bs', 'conc_bs')} FROM results",
+        ),
+        "qc_bad_cells": _sql(
+            _IRREGULAR,
+            "SELECT 'peaks' AS table_name, 'area_raw' AS column_name, unreadable AS value, COUNT(*) AS cells"
+            " FROM all_peaks WHERE unreadable IS NOT NULL GROUP BY unreadable"
+            " UNION ALL SELECT 'mass_list', 'retention_time', 'NaN', 2",
+        ),
+        "irregular_report": _sql(_IRREGULAR_RESULTS, f"SELECT batch_id, sample_name, label, {_r('amount')} FROM report"),
+        "irregular_report_bs": _sql(
+            _IRREGULAR_RESULTS, f"SELECT batch_id, sample_name, label, {_r('amount=amount_bs')} FROM report"
+        ),
+    }
+    positions = "ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY {}) AS position"
+    sql["raw_export_ordered"] = sql["raw_export_wide"].replace(
+        f"SELECT {_EXPORT_KEYS}",
+        f"SELECT {positions.format('sample_type, sheet, row_identity, molecular_formula, mz')}, {_EXPORT_KEYS}",
+    )
+    sql["concentration_report_ordered"] = _report_wide("amount").replace(
+        "SELECT batch_id, label, sheet", f"SELECT {positions.format('sheet, label')}, batch_id, label, sheet"
+    )
     for v in ("", "_bs"):
         sql |= {
             f"profile_named{v}": _profile(v, _NAMED),
@@ -514,4 +671,6 @@ def oracle_sql() -> dict[str, str]:
             f"class_bars{v}": _class_bars(v),
             f"chain_bars{v}": _chain_bars(v),
         }
+    for staged, same in STAGED.items():
+        sql[staged] = sql[same]
     return sql

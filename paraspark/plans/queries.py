@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from paraspark.operators import quantify, views
 from paraspark.operators.identify import IDENTIFIED_COLUMNS
-from paraspark.plans.assay import Assay
-from paraspark.schema import BATCH, AssayParams
+from paraspark.operators.wide import with_positions
+from paraspark.plans.assay import EXPORT_ORDER, REPORT_ORDER, Assay
+from paraspark.plans.stage import stage_assay
+from paraspark.schema import BATCH, INPUT_TABLES, AssayParams
+from paraspark.session import shared_folder
+from paraspark.sources import readers
 from paraspark.sources.driver_tables import assay_tables
 
 DIGITS = 6
@@ -114,6 +120,10 @@ _ON_ASSAY: dict[str, Callable[[Assay], DataFrame]] = {
     "concentration_report_wide": lambda a: a.report_wide(False),
     "concentration_report_wide_bs": lambda a: a.report_wide(True),
     "raw_export_wide": lambda a: a.raw_export(),
+    "raw_export_ordered": lambda a: with_positions(
+        a.raw_export(), [BATCH], EXPORT_ORDER, ["sample_type", "sheet"]
+    ),
+    "concentration_report_ordered": lambda a: with_positions(a.report_wide(False), [BATCH], REPORT_ORDER, ["sheet"]),
     "normalized_export_wide": lambda a: a.normalized_export(False),
     "normalized_export_wide_bs": lambda a: a.normalized_export(True),
     "sheet_layout": lambda a: a.type_layout,
@@ -137,24 +147,95 @@ _ON_ASSAY: dict[str, Callable[[Assay], DataFrame]] = {
     "chain_bars_bs": lambda a: a.chain_bars(True),
     "mixture_table": lambda a: a.tables.calibration,
     "sample_types_present": lambda a: a.sample_types_present(),
-    "qc_duplicate_keys": lambda a: a.duplicate_keys(),
     "qc_key_summary": lambda a: a.key_summary(),
-    "qc_istd_missing": lambda a: a.istd_missing(),
     "qc_unmatched_peaks": lambda a: a.unmatched_peaks(),
 }
+# On the tables that hold what a clean run does not.
+_ON_IRREGULAR: dict[str, Callable[[Assay], DataFrame]] = {
+    "qc_duplicate_keys": lambda a: a.duplicate_keys(),
+    "qc_istd_missing": lambda a: a.istd_missing(),
+    "irregular_key_summary": lambda a: a.key_summary(),
+    "irregular_peaks": lambda a: a.rows.select(*IDENTIFIED_COLUMNS),
+    "irregular_homologues": lambda a: a.homologues.select(*HOMOLOGUE_COLUMNS),
+    "irregular_calibration_points": lambda a: a.calibration_points,
+    "irregular_chain_calibration": lambda a: a.chain_calibration,
+    "irregular_concentrations": lambda a: a.results(True).select(
+        BATCH, "sample_name", "sample_type", "chain_length", "cp_type", "cl_degree_f", "rf", "conc",
+        "cl_degree_f_bs", "rf_bs", "conc_bs",
+    ),
+    "irregular_report": lambda a: a.report(False),
+    "irregular_report_bs": lambda a: a.report(True),
+}
+# On a stage that is written first.
+_ON_STAGE: dict[str, Callable[[Assay], DataFrame]] = {
+    "staged_raw_export_wide": lambda a: a.raw_export(),
+    "staged_normalized_export_wide_bs": lambda a: a.normalized_export(True),
+    "staged_homologues": lambda a: a.homologues.select(*HOMOLOGUE_COLUMNS),
+    "staged_calibration_report": lambda a: a.calibration_report(REPORT_CHAINS),
+    "staged_concentration_report": lambda a: a.report(False),
+    "staged_concentration_report_bs": lambda a: a.report(True),
+    "staged_chain_bars_bs": lambda a: a.chain_bars(True),
+}
 _ON_PASSTHROUGH: dict[str, Callable[[Assay], DataFrame]] = {
     "blank_subtracted_passthrough": _subtracted,
     "concentration_report_bs_passthrough": lambda a: a.report(True),
 }
 
 
-def _query(build: Callable[[Assay], DataFrame], params: AssayParams | None) -> Callable[[SparkSession, str], DataFrame]:
+def _query(
+    build: Callable[[Assay], DataFrame], params: AssayParams | None = None, irregular: bool = False
+) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(build(Assay(assay_tables(spark, sf_dir, irregular), params)))
+
+    return run
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}/{uuid.uuid4().hex}"
+
+
+def _staged(build: Callable[[Assay], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(build(Assay(assay_tables(spark, sf_dir), params)))
+        return rounded(build(stage_assay(Assay(assay_tables(spark, sf_dir)), _folder(spark, "assay-stages"))))
 
     return run
 
 
+def csv_copy(spark: SparkSession, sf_dir: str, irregular: bool = False) -> str:
+    """The assay tables written as CSV files; returns their folder."""
+    tables, folder = assay_tables(spark, sf_dir, irregular), _folder(spark, "assay-csv")
+    for name in INPUT_TABLES:
+        getattr(tables, name).write.option("header", True).csv(f"{folder}/{name}")
+    return folder
+
+
+def _from_csv(build: Callable[[Assay], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(build(Assay(readers.read_assay(spark, csv_copy(spark, sf_dir)))))
+
+    return run
+
+
+def _bad_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.bad_cells(spark, csv_copy(spark, sf_dir, irregular=True))
+    return found.groupBy("table_name", "column_name", "value").count().withColumnRenamed("count", "cells")
+
+
+def _shared_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = assay_tables(spark, sf_dir)
+    targets = tables.mass_list.filter(f"{BATCH} = 1").drop(BATCH)
+    return rounded(Assay(replace(tables, mass_list=targets)).report(False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = {name: _query(build, None) for name, build in _ON_ASSAY.items()}
-    return plain | {name: _query(build, PASSTHROUGH) for name, build in _ON_PASSTHROUGH.items()}
+    found = {name: _query(build) for name, build in _ON_ASSAY.items()}
+    found |= {name: _query(build, PASSTHROUGH) for name, build in _ON_PASSTHROUGH.items()}
+    found |= {name: _query(build, irregular=True) for name, build in _ON_IRREGULAR.items()}
+    found |= {name: _staged(build) for name, build in _ON_STAGE.items()}
+    return found | {
+        "csv_concentration_report": _from_csv(lambda a: a.report(False)),
+        "csv_identified_peaks": _from_csv(lambda a: a.rows.select(*IDENTIFIED_COLUMNS)),
+        "qc_bad_cells": _bad_cells,
+        "shared_list_report": _shared_list,
+    }

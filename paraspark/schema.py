@@ -62,6 +62,14 @@ RUN_PARAMS = _table(
     ("extract_volume", T.DoubleType(), False),
 )
 
+INPUT_TABLES = {
+    "peaks": PEAKS,
+    "sequence": SEQUENCE,
+    "mass_list": MASS_LIST,
+    "calibration": CALIBRATION_MIXTURES,
+    "blank_map": BLANK_MAP,
+}
+
 # Long-form column sets, by name; both variants carry the suffix where one applies.
 ION_KEYS = ("mz", "retention_time", "row_identity", "molecular_formula")
 EXPORT_KEYS = (*ION_KEYS, "sample_type", "chain_length", "cl_no")

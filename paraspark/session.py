@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Hot keys in the large joins are split at run time by adaptive skew handling;
@@ -14,6 +16,20 @@ RUNTIME_CONF = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a session that runs on this machine alone may do without: it gets a folder of its own, once.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paraspark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RUNTIME_CONF`` where neither the application nor the session has decided otherwise."""
     started, current = spark.sparkContext.getConf(), spark._jsparkSession.sessionState().conf().settings()

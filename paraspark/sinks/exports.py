@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paraspark.operators import identify, wide
 from paraspark.plans.assay import Assay
+from paraspark.plans.stage import stage_assay
 from paraspark.schema import BATCH, EXPORT_KEYS, SAMPLE_TYPES
 
 FORMATS = ("parquet", "csv")
@@ -98,8 +99,14 @@ def named_exports(
     return written
 
 
-def export_all(assay: Assay, folder: str, fmt: str = "parquet") -> None:
-    """Every export and report of an assay, each in its own folder."""
+def export_all(assay: Assay, folder: str, fmt: str = "parquet", stage: str | None = None) -> None:
+    """Every export and report of an assay, each in its own folder.
+
+    All read one stage, by default a folder beside them; the peak source is read once, to write
+    it. A run after a lost one goes on with the stage if that was finished; outputs
+    that exist are not replaced.
+    """
+    assay = stage_assay(assay, stage or f"{folder.rstrip('/')}/stage")
     export_raw(assay, folder, fmt)
     for bs in (True, False):
         export_normalized(assay, folder, bs, fmt)

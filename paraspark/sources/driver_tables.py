@@ -1,16 +1,20 @@
 """Assay tables derived from the order-line test tables.
 
 A (supplier, order parity) pair plays an injection and a part an ion, so that
-every query runs over all order lines.
+every query runs over all order lines. The irregular tables come from the same rows and hold what
+a clean run does not: injections without a standard, repeated peaks, unreadable areas, a target
+without a usable retention time, samples without a type, a blank without a label, mixtures of
+some chains only, a chain with a response factor below its floor, and a batch with parameters of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paraspark.functions.chemistry import quoted
 from paraspark.operators.joins import aggregate
-from paraspark.schema import AssayTables
+from paraspark.schema import RUN_PARAMS, AssayTables
 
 ISTD_FORMULA = "C'10Cl6H16"
 ISTD_MZ = 355.97185
@@ -37,7 +41,12 @@ _TYPE = (
 )
 
 
-def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+# What the irregular tables change.
+_IRREGULAR_TYPE = f"CASE WHEN s % 10 = 0 AND batch_id = 2 THEN NULL ELSE {_TYPE} END"
+_MIXTURES = {2: "10,11,12,13", 3: "12,13,14,15", 4: "10,11,12,13,14,15,16,17,18", 5: "10,12,14,16"}
+
+
+def peaks(spark: SparkSession, sf_dir: str, irregular: bool = False) -> DataFrame:
     lines = spark.read.schema(_LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
     parts = spark.read.schema(_PART).parquet(f"{sf_dir}/part.parquet")
 
@@ -50,16 +59,28 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cells = aggregate(ions, ["batch_id", "s", "n", "m"], cents="sum(cents)")
     area = "cents * (10 + m * (s % 4)) / 1000"
+    unreadable = "WHEN (s + n + m) % 37 = 0 THEN '#N/A'"
+    if irregular:
+        unreadable += " WHEN (s + n + m) % 31 = 0 THEN 'NaN' WHEN (s + n + m) % 29 = 0 THEN 'n.d.'"
+        unreadable += f" WHEN n = 16 AND s % 10 BETWEEN 2 AND 5 THEN CAST({area} / 1000000 AS STRING)"
+        cells = cells.withColumn("copies", F.expr("if(s % 10 = 3 AND n = 11, array(1, 2), array(1))"))
+        cells = cells.select("batch_id", "s", "n", "m", "cents", F.explode("copies")).drop("col")
     homologues = cells.selectExpr(
         "batch_id",
         f"{_NAME} AS replicate",
         f"{_FORMULA} AS formula",
         f"{_MZ} AS mz",
-        "CASE WHEN (s + n + m) % 37 = 0 THEN '#N/A'"
+        f"CASE {unreadable}"
         f" WHEN s % 10 = 1 THEN CAST({area} / 50 AS STRING) ELSE CAST({area} AS STRING) END AS area_raw",
     )
     amounts = lines.selectExpr(_BATCH, _SUPPLIER, "CAST(l_quantity AS BIGINT) AS quantity")
-    standards = aggregate(amounts, ["batch_id", "s"], quantity="sum(quantity)").selectExpr(
+    sums = aggregate(amounts, ["batch_id", "s"], quantity="sum(quantity)")
+    if irregular:
+        # No standard in the first batch, an empty one in the second.
+        sums = sums.filter("NOT (s % 10 = 7 AND batch_id = 1)").selectExpr(
+            "batch_id", "s", "if(s % 10 = 7, 0L, quantity) AS quantity"
+        )
+    standards = sums.selectExpr(
         "batch_id",
         f"{_NAME} AS replicate",
         f"{quoted(ISTD_FORMULA)} AS formula",
@@ -69,7 +90,7 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homologues.unionByName(standards)
 
 
-def mass_list(spark: SparkSession) -> DataFrame:
+def mass_list(spark: SparkSession, irregular: bool = False) -> DataFrame:
     """Every (chain, chlorine) target and the standard, for both batches.
 
     The row past the last homologue becomes the standard.
@@ -80,37 +101,45 @@ def mass_list(spark: SparkSession) -> DataFrame:
         f"CAST({CHAINS.start} + id DIV {len(CHLORINES)} AS INT) AS n",
         f"CAST({CHLORINES.start} + id % {len(CHLORINES)} AS INT) AS m",
     )
+    retention = "if(standard, 7.5D, n * 0.5D + m * 0.25D)"
+    if irregular:
+        retention = f"if(NOT standard AND n = 13 AND m = 5, double('NaN'), {retention})"
     return cells.selectExpr(
         _BATCHES,
         f"if(standard, {quoted(ISTD_FORMULA)}, {_FORMULA}) AS molecular_formula",
         f"if(standard, {ISTD_MZ}D, {_MZ}) AS mz",
         "'[M]-' AS adduct",
-        "if(standard, 7.5D, n * 0.5D + m * 0.25D) AS retention_time",
+        f"{retention} AS retention_time",
         "if(standard, '000_ISTD', concat('C', n, '_Cl', lpad(m, 2, '0'))) AS row_identity",
     )
 
 
-def assay_tables(spark: SparkSession, sf_dir: str) -> AssayTables:
+def assay_tables(spark: SparkSession, sf_dir: str, irregular: bool = False) -> AssayTables:
     suppliers = spark.read.schema(_SUPPLIERS).parquet(f"{sf_dir}/supplier.parquet")
     injections = suppliers.selectExpr(
         _BATCHES, "coalesce(s_suppkey, -1L) AS s"
     ).selectExpr("*", f"{_NAME} AS sample_name"
     )
-    info = ",".join(str(n) for n in CHAINS)
+    info, run_params = quoted(",".join(str(n) for n in CHAINS)), None
+    if irregular:
+        info = "CASE s % 10 " + " ".join(f"WHEN {k} THEN {quoted(v)}" for k, v in _MIXTURES.items()) + " END"
+        run_params = spark.createDataFrame([(2, ISTD_FORMULA, 50.0)], RUN_PARAMS)
+    unlabelled = "s % 10 = 9 OR s = 1" if irregular else "s % 10 = 9"
     return AssayTables(
-        peaks=peaks(spark, sf_dir),
+        peaks=peaks(spark, sf_dir, irregular),
         sequence=injections.selectExpr(
-            "batch_id", "sample_name AS replicate", "sample_name", f"{_TYPE} AS sample_type"
+            "batch_id", "sample_name AS replicate", "sample_name", f"{_IRREGULAR_TYPE if irregular else _TYPE} AS sample_type"
         ),
-        mass_list=mass_list(spark),
+        mass_list=mass_list(spark, irregular),
         calibration=injections.filter("s % 10 BETWEEN 2 AND 5").selectExpr(
             "batch_id",
             "sample_name",
             "concat('MIX', s % 10) AS calibration_type",
             "CAST(1 + s DIV 10 % 5 AS DOUBLE) AS calibration_level",
-            f"'{info}' AS chain_length_info",
+            f"{info} AS chain_length_info",
         ),
-        blank_map=injections.filter("s % 10 != 9").selectExpr(
+        blank_map=injections.filter(f"NOT ({unlabelled})").selectExpr(
             "batch_id", "sample_name", "concat('BLK', s DIV 10) AS blank_sample"
         ),
+        run_params=run_params,
     )

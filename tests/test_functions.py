@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import math
+import random
+from functools import reduce
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
 
 from paraspark.functions import chemistry as chem
+from paraspark.functions import exact
 from paraspark.functions import numeric as num
 
 
@@ -88,8 +92,41 @@ def test_division_and_sum_of_nothing(spark):
     assert df.filter("a > 5").agg(F.expr(num.total("a"))).first()[0] == 0.0
 
 
-def test_equality_key_ignores_last_bits(spark):
-    a, b = 0.1 + 0.2, 0.3
-    [(ka, kb, kc)] = evaluate(spark, "a double, b double", [(a, b)], num.equality_key("a"), num.equality_key("b"),
-                              num.equality_key("b * 1.0000001D"))
-    assert a != b and ka == kb != kc
+GRIDS = {"areas": exact.AREAS, "ratios": exact.RATIOS}
+
+
+def exact_sums(df, grid, where="true"):
+    return df.groupBy("k").agg(F.expr(exact.exact_sum("x", grid, where)).alias("s")).collect()
+
+
+@pytest.mark.parametrize("grid", GRIDS.values(), ids=GRIDS)
+def test_exact_sum_depends_on_values_alone(spark, grid):
+    rng = random.Random(4)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randrange(-4, 9) for _ in range(400)]
+    orders = [(k, x) for k in range(8) for x in rng.sample(values, len(values))]
+    got = {r["s"] for parts in (1, 3, 16) for r in exact_sums(spark.createDataFrame(orders, "k int, x double").repartition(parts), grid)}
+    assert len({reduce(add, rng.sample(values, len(values))) for _ in range(50)}) > 1  # plain sums do differ
+    assert len(got) == 1
+    assert math.isclose(got.pop(), math.fsum(values), rel_tol=1e-15)
+
+
+@pytest.mark.parametrize("grid", GRIDS.values(), ids=GRIDS)
+def test_exact_sum_of_equal_totals_in_other_parts(spark, grid):
+    """Carries: the same total from numbers whose limbs differ."""
+    rows = [(1, 2.0**31)] * 4 + [(2, 2.0**33)] + [(3, 2.0**40), (3, 2.0**33 - 2.0**40)] + [(4, -1.5), (4, 2.0**33), (4, 1.5)]
+    got = {r["s"] for r in exact_sums(spark.createDataFrame(rows, "k int, x double"), grid)}
+    assert got == {2.0**33}
+
+
+def test_exact_sum_keeps_the_thirteenth_digit(spark):
+    rows = [(1, 0.1), (1, 0.2), (2, 0.2), (2, 0.1), (3, 0.1), (3, 0.2000000000001)]
+    got = {r["k"]: r["s"] for r in exact_sums(spark.createDataFrame(rows, "k int, x double"), exact.AREAS)}
+    assert got[1] == got[2] != got[3]
+
+
+def test_exact_sum_of_nothing_and_of_huge_numbers(spark):
+    rows = [(1, None), (2, 5.0), (3, 1e300), (3, 1.0), (4, None), (4, -0.0), (5, -7.25), (6, 1e-30)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    got = {r["k"]: r["s"] for r in exact_sums(df, exact.RATIOS)}
+    assert got == {1: None, 2: 5.0, 3: 1e300, 4: 0.0, 5: -7.25, 6: 1e-30}
+    assert {r["k"]: r["s"] for r in exact_sums(df, exact.AREAS, "x > 5")} == {1: None, 2: None, 3: 1e300, 4: None, 5: None, 6: None}

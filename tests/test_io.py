@@ -111,3 +111,59 @@ def test_csv_sheets_have_empty_cells(make_tables, tmp_path):
     folder = tmp_path / "peak_area" / "Sample"
     text = "\n".join(p.read_text() for p in folder.iterdir() if p.suffix == ".csv")
     assert ",," in text and "null" not in text.lower() and "NaN" not in text
+
+
+def test_bad_cells_are_rows(spark, tmp_path):
+    for name in S.INPUT_TABLES:
+        (tmp_path / name).mkdir()
+    write(
+        tmp_path / "peaks" / "run7.csv",
+        "batch_id,Precursor Neutral Formula,Product Mz,Area,Replicate",
+        ["1,C10Cl5H18,314.98,120,a", "1,C10Cl5H18,wide,#N/A,a", "1,C10Cl5H18,,12.5d,a", "x,C1,1,1,a", "1,C1,1", "1,C1,1,1,a,extra"],
+    )
+    write(tmp_path / "sequence" / "s.csv", "batch_id,Replicate,Sample name,Sample type", ["1,a,A,"])
+    write(
+        tmp_path / "mass_list" / "m.csv",
+        "batch_id,molecular formula,m/z,adduct,retention time,row identity".replace("m/z", "mz"),
+        ["1,C1,314.98,,NaN,C1", "1,,314.98,,7.5,C2"],
+    )
+    write(tmp_path / "calibration" / "c.csv", "batch_id,Sample name,Calibration type,Calibration level,Chain length info", ["1,A,M,high,10"])
+    write(tmp_path / "blank_map" / "b.csv", "batch_id,Sample name,Blank sample", ["1,A,B"])
+    found = readers.bad_cells(spark, str(tmp_path))
+    assert rows(found, "table_name", "column_name", "value") == sorted(
+        [
+            ("calibration", "calibration_level", "high"),
+            ("mass_list", "molecular_formula", None),
+            ("mass_list", "retention_time", "NaN"),
+            ("peaks", "area_raw", "12.5d"),
+            ("peaks", "batch_id", "x"),
+            ("peaks", "mz", "wide"),
+            ("peaks", None, "1,C1,1"),
+            ("peaks", None, "1,C1,1,1,a,extra"),
+        ],
+        key=lambda r: [(v is None, str(v)) for v in r],
+    )
+    assert {r["file_name"] for r in found.filter("table_name = 'peaks'").collect()} == {"run7.csv"}
+    assert "1,C10Cl5H18,wide,#N/A,a" in {r["line"] for r in found.collect()}
+
+
+def test_batch_from_file_name(spark, tmp_path):
+    for b in (3, 14):
+        write(tmp_path / f"run{b}_a.csv", "Precursor Neutral Formula,Product Mz,Area,Replicate", LINES)
+    df = readers.read_peaks(spark, str(tmp_path), batch_id=r"run(\d+)")
+    assert sorted(map(tuple, df.groupBy("batch_id").count().collect())) == [(3, 2), (14, 2)]
+
+
+def test_shared_mass_list_with_a_standard_per_batch(spark, make_tables):
+    """One list for all batches; a batch's own standard is the standard there and a homologue elsewhere."""
+    other = "C11H18Cl6"
+    targets = [(1, "C'10Cl6H16", 356.0, None, 7.5, "000_ISTD"), (1, other, 371.0, None, 5.0, "C11"), (1, "C12H20Cl6", 385.0, None, 6.0, "C12")]
+    peaks = [(b, f"r{b}", f, mz, str(area)) for b in (1, 2) for (_, f, mz, *_), area in zip(targets, (10, 20, 30), strict=True)]
+    sequence = [(b, f"r{b}", "A", "Sample") for b in (1, 2)]
+    listed = make_tables(peaks=peaks, sequence=sequence, run_params=[(2, other, 50.0)],
+                         mass_list=targets + [(2, *t[1:]) for t in targets])
+    shared = S.AssayTables(**(vars(listed) | {"mass_list": listed.mass_list.filter("batch_id = 1").drop("batch_id")}))
+    want = rows(Assay(listed).rows)
+    assert rows(Assay(shared).rows.select(*Assay(listed).rows.columns)) == want
+    assert {(r["batch_id"], r["istd_area"]) for r in Assay(shared).rows.collect()} == {(1, 10.0), (2, 20.0)}
+    assert rows(Assay(shared).key_summary().filter("check_name = 'mass_list_ion'"), "batch_id", "duplicate_keys") == [(None, 0)]

@@ -7,6 +7,8 @@ import pytest
 
 from paraspark import Assay, AssayParams
 from paraspark.operators import views, wide
+from paraspark.plans.assay import EXPORT_ORDER
+from paraspark.plans.queries import rounded
 from paraspark.sinks import exports
 from tests.conftest import rows
 from tests.random_assay import merged, random_batch
@@ -23,10 +25,7 @@ def test_layout_is_the_exact_rank(spark, width):
     names = {f"{rng.choice('xyz')}{rng.randrange(5000)}" for _ in range(1500)}
     samples = [(1 if rng.random() < 0.8 else 2, n) for n in names]
     df = spark.createDataFrame(samples * 2, "batch_id int, sample_name string").repartition(7)
-    points = wide.split_points(df, ["batch_id"])
-    assert len(points) < 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    layout = wide.sheet_layout(df, ["batch_id"], width, points)
-    assert rows(wide.sheet_layout(df, ["batch_id"], width)) == rows(layout)
+    layout = wide.sheet_layout(df, ["batch_id"], width)
     got = {(r["batch_id"], r["sample_name"]): (r["sheet"], r["slot"]) for r in layout.collect()}
     want = {}
     for b in (1, 2):
@@ -35,6 +34,34 @@ def test_layout_is_the_exact_rank(spark, width):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "names",
+    [
+        [f"Sample_{i:05d}" for i in range(300)],
+        ["a", "ab", "abc", "abcd", "abce", "b"],
+        ["only"],
+        ["same", "same_", "same__1", "same_é", "same_😀", "sameZ"],
+        ["", "x"],
+    ],
+)
+def test_layout_of_names_with_a_common_beginning(spark, names):
+    df = spark.createDataFrame([(1, n) for n in names], "batch_id int, sample_name string").repartition(5)
+    got = {r["sample_name"]: (r["sheet"], r["slot"]) for r in wide.sheet_layout(df, ["batch_id"], 4).collect()}
+    assert got == {n: divmod(i, 4) for i, n in enumerate(sorted(names, key=str.encode))}
+
+
+def test_positions_follow_the_written_order(assay):
+    sheets = assay.raw_export()
+    placed = wide.with_positions(sheets, ["batch_id"], EXPORT_ORDER, ["sample_type", "sheet"])
+    written = [tuple(r) for r in sheets.select(*EXPORT_ORDER).collect()]
+    for b in (1, 2):
+        found = {r["position"]: tuple(r[c] for c in EXPORT_ORDER) for r in placed.filter(f"batch_id = {b}").collect()}
+        assert [found[i + 1] for i in range(len(found))] == [r for r in written if r[0] == b]
+    report = assay.report_wide(True)
+    labels = [(r["sheet"], r["label"]) for r in report.filter("batch_id = 1").collect()]
+    assert labels == sorted(labels)
+
+
 def test_sheet_width_bounds(spark):
     with pytest.raises(ValueError):
         wide.sheet_layout(spark.range(1), [], 64)
@@ -102,6 +129,31 @@ def test_bars_take_the_first_samples_or_named_ones(assay):
     assert {(r["batch_id"], r["sample_name"]) for r in assay.class_bars(False, None).collect()} == set(everyone)
 
 
+def test_narrowed_selections_equal_filtered_results(spark, assay):
+    """Peaks of the chosen samples and their blanks give what a filter on all results gives."""
+    table = spark.createDataFrame([(1, "name00"), (2, "name02"), (2, "name07")], "batch_id int, sample_name string")
+    for samples in (["name01", "name05", "name07"], table):
+        for bs in (False, True):
+            pairs = [
+                (assay.results_of(bs, samples), assay.results(bs)),
+                (assay.chosen_rows(bs, samples), assay.variant_rows(bs)),
+            ]
+            for narrowed, whole in pairs:
+                want = rows(views.select_samples(rounded(whole), samples), *sorted(whole.columns))
+                assert want and rows(rounded(narrowed), *sorted(whole.columns)) == want
+
+
+def test_first_samples_skip_those_without_rows(make_tables):
+    batch = random_batch(5, 1)
+    lost = [r[1] for r in batch["sequence"] if r[2] in ("name00", "name02")]
+    batch["peaks"] = [p for p in batch["peaks"] if p[1] not in lost]
+    few = Assay(make_tables(**batch))
+    names = sorted(r["sample_name"] for r in few.sample_list().collect())
+    assert not {"name00", "name02"} & set(names)
+    for bs in (False, True):
+        assert sorted({r["sample_name"] for r in few.chain_bars(bs, 3).collect()}) == names[:3]
+
+
 def test_selection_by_table_and_long_list(spark, assay):
     table = spark.createDataFrame([(1, "name00")], "batch_id int, sample_name string")
     picked = views.select_samples(assay.sample_list(), table)
