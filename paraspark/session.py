@@ -16,6 +16,11 @@ RUNTIME_CONF = {
 }
 
 
+def decided_settings(spark: SparkSession) -> set[str]:
+    """Names of the settings that the application or the session has a value of its own for."""
+    return {row["key"] for row in spark.sql("SET").collect()}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -32,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RUNTIME_CONF`` where neither the application nor the session has decided otherwise."""
-    started, current = spark.sparkContext.getConf(), spark._jsparkSession.sessionState().conf().settings()
+    decided = decided_settings(spark)
     for key, value in RUNTIME_CONF.items():
-        if not started.contains(key) and not current.containsKey(key):
+        if key not in decided:
             spark.conf.set(key, value)
     return spark
