@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paraspark.session import decided_settings, shared_folder
+
 PREFIX_BLOCK = 128
 ROWS_PER_BATCH = 500
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -22,17 +24,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (tests on one machine), a folder of this
-    session is set.
+    Only a session that runs on this machine alone may do without: it gets a folder of its own.
+    Elsewhere the setting is needed, as executors could not see such a folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    present = spark.sparkContext.getCheckpointDir()
-    if present is None:
-        spark.sparkContext.setCheckpointDir(f"/tmp/paraspark-checkpoints/{uuid.uuid4().hex}")
-        present = spark.sparkContext.getCheckpointDir()
-    return present
+    return shared_folder(spark)
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
@@ -54,7 +49,7 @@ def prepare(spark: SparkSession) -> None:
     whose nodes do not share the package's path it is shipped as usual.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not spark._jsparkSession.sessionState().conf().settings().containsKey(key):
+    if key not in decided_settings(spark):
         spark.conf.set(key, str(ROWS_PER_BATCH))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -81,12 +76,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """Sums of the elements before each element of an array of numbers.
+def _before_each(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` over the elements before each element of an array of numbers, from 0 on.
 
     Blocks keep the work near linear for arrays of any size.
     """
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), op)
 
     def block_starts(items: Column) -> Column:
         blocks = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / PREFIX_BLOCK).cast("int")))
@@ -94,17 +89,29 @@ def prefix_sums(lengths: Column) -> Column:
         return F.aggregate(
             sums,
             F.array(F.lit(0).cast("long")),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
+            lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))),
         )
 
     def placed(items: Column, before: Column) -> Column:
         return F.transform(
             items,
-            lambda _, i: F.get(before, (i / PREFIX_BLOCK).cast("int"))
-            + total(F.slice(items, (i / PREFIX_BLOCK).cast("int") * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)),
+            lambda _, i: op(
+                F.get(before, (i / PREFIX_BLOCK).cast("int")),
+                total(F.slice(items, (i / PREFIX_BLOCK).cast("int") * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)),
+            ),
         )
 
-    return let(lengths, lambda items: let(block_starts(items), lambda before: placed(items, before)))
+    return let(values, lambda items: let(block_starts(items), lambda before: placed(items, before)))
+
+
+def prefix_sums(lengths: Column) -> Column:
+    """Sums of the elements before each element."""
+    return _before_each(lengths, lambda s, x: s + x)
+
+
+def prefix_maxima(values: Column) -> Column:
+    """Largest of the elements before each element, 0 before the first."""
+    return _before_each(values, lambda s, x: F.greatest(s, x))
 
 
 def tree_depth(items: int, fan_in: int) -> int:
