@@ -243,7 +243,8 @@ def apply_mix(
     )
     # Of n equal rows that are taken c times, the first c mod n are taken once more.
     spread = copies.where(F.col("__copies") > 0).select(F.col("key").alias("__key"), "__copies", "__rows")
-    once = keyed.join(spread, "__key")
+    # One row a document: never small, so it is never broadcast.
+    once = keyed.join(spread.hint("merge"), "__key")
     same = Window.partitionBy("__key").orderBy(F.lit(1))
     repeated = once.where(F.col("__rows") > 1).withColumn("__nth", F.row_number().over(same))
     single = once.where(F.col("__rows") == 1).withColumn("__nth", F.lit(1))
