@@ -12,7 +12,8 @@ therefore takes a bounded sample of labelled rows, keeps of each document the st
 that tell most, maps them to ``LANDMARKS`` landmarks (Nyström) and alternates between a
 linear support vector machine and the choice of each toxic document's witness strings. A
 decision is linear in the landmarks' kernels, hence one weight for each subsequence: a
-table of 4 MB that is broadcast. Scores of a part of the sample that was not trained on
+table of 4 MB that is broadcast. What it thinks worst in whole texts joins the strings and it is
+trained again. Scores of a part of the sample that was not trained on
 set the scale from decisions to scores, each class weighing what it has of all labels.
 
 A sentence scores as its worst string, a document as its worst sentence.
@@ -23,7 +24,7 @@ from __future__ import annotations
 import itertools
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,9 @@ LANDMARKS = 256
 TOXIC_DOCS = 1200
 CLEAN_DOCS = 2400
 STRINGS = 24
+#: Documents of either class below which there is nothing to learn, and what every text then scores.
+LEAST_DOCS = 5
+UNKNOWN = 0.05
 #: Symbols of the runs by which strings are first judged.
 GRAM = 5
 #: Landmarks that may share the run that tells most of them.
@@ -51,6 +55,9 @@ ALIKE = 12
 #: Standard errors of the log-odds from which a string of a toxic document is a witness at first.
 SURE = 3.5
 ROUNDS = 4
+#: How often the strings that score worst join the training, and how many of each text.
+MINING = 3
+HARD = 8
 COST = 10.0
 THRESHOLD = 0.3
 CHUNK_CHARS = 1_000_000
@@ -237,22 +244,27 @@ def _scale(decision: np.ndarray, y: np.ndarray, stands_for: tuple[float, float]
     return float(w[0]), float(w[1])
 
 
+def _set_apart(docs: pd.Series) -> np.ndarray:
+    """The fifth of the documents that sets the scale and is not trained on."""
+    return np.array([zlib.crc32(f"part {d}".encode()) % 5 == 0 for d in docs], dtype=bool)
+
+
 def fit(
-    sample: pd.DataFrame, evidence: np.ndarray, prior: float, stands_for: tuple[float, float] = (1.0, 1.0)
+    sample: pd.DataFrame, evidence: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)
 ) -> Model:
     """Model from strings (doc, toxic, string), ``STRINGS`` of each document at most.
 
-    A clean and a toxic document of the sample stand for ``stands_for`` labelled ones each.
+    A clean and a toxic document of the sample stand for ``stands_for`` labelled ones each. Without
+    ``LEAST_DOCS`` of both, every text scores ``UNKNOWN``, and none is rejected.
     """
-    flat = Model(np.zeros(TABLE, dtype="f4"), 0.0, float(np.log(prior / (1 - prior))))
-    if not len(sample) or sample["toxic"].nunique() < 2:
-        return flat
+    if sample.groupby("toxic")["doc"].nunique().reindex([0, 1], fill_value=0).min() < LEAST_DOCS:
+        return Model(np.zeros(TABLE, dtype="f4"), 0.0, float(np.log(UNKNOWN / (1 - UNKNOWN))))
     sample = sample.sort_values(["doc", "string"]).reset_index(drop=True)
     text = sample["string"].tolist()
     toxic = sample["toxic"].to_numpy() > 0
     doc = pd.factorize(sample["doc"])[0]
-    part = np.array([zlib.crc32(f"part {d}".encode()) % 5 for d in sample["doc"]])
-    trained = part != 0 if len(np.unique(doc[(part == 0) & toxic])) >= 5 else np.ones(len(part), dtype=bool)
+    apart = _set_apart(sample["doc"])
+    trained = ~apart if len(np.unique(doc[apart & toxic])) >= LEAST_DOCS else np.ones(len(apart), dtype=bool)
     value = np.full(len(text), -10.0)
     s = strings_of(text)
     np.maximum.at(value, s.text, _string_values(s, evidence))
@@ -273,10 +285,10 @@ def fit(
     basis = base.T @ half.astype("f4")
     del base
 
-    def mapped(rows: np.ndarray) -> np.ndarray:
-        out = np.ones((len(rows), basis.shape[1] + 1), dtype="f4")
-        for i in range(0, len(rows), 100):
-            out[i : i + 100, :-1] = _features([text[r] for r in rows[i : i + 100]], codes)[0] @ basis
+    def mapped(strings: list[str]) -> np.ndarray:
+        out = np.ones((len(strings), basis.shape[1] + 1), dtype="f4")
+        for i in range(0, len(strings), 100):
+            out[i : i + 100, :-1] = _features(strings[i : i + 100], codes)[0] @ basis
         return out
 
     score, sure = value, SURE
@@ -288,7 +300,7 @@ def fit(
         against = used[~used["toxic"] & ((used["rank"] <= 6) | (used["rank"] % 5 == 0))].index.to_numpy()
         rows = np.concatenate([witness, against])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(against))])
-        w = linear_svm(mapped(rows), y.astype("f4"), COST)
+        w = linear_svm(mapped([text[r] for r in rows]), y.astype("f4"), COST)
         weights = np.zeros(TABLE)
         weights[codes] = basis @ w[:-1]
         bias = w[-1]
@@ -331,29 +343,39 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz" + 10 * " " + "".join(map(chr, range(0x3B1, 0x3B1 + 26)))
 
 
-def _telling(texts: list[str], evidence: np.ndarray) -> Iterator[tuple[int, list[str]]]:
-    """Of each text the ``STRINGS`` distinct strings of most evidence."""
+def _top_strings(
+    texts: list[str], judge: Callable[[Strings], np.ndarray], most: int
+) -> Iterator[tuple[int, list[str]]]:
+    """Of each text the ``most`` distinct strings that ``judge`` puts highest."""
     s = strings_of(texts)
-    value = _string_values(s, evidence)
+    value = judge(s)
     order = np.lexsort((np.arange(len(value)), -value, s.text))
     ends = np.searchsorted(s.text[order], np.arange(len(texts) + 1))
     for i in range(len(texts)):
         chosen: dict[str, None] = {}
         for k in order[ends[i] : ends[i + 1]]:
             letters = s.symbols[s.starts[k] + 1 : s.starts[k] + s.lengths[k] - 1]
-            chosen["".join(_ALPHABET[x - 1] for x in letters[:40])] = None
-            if len(chosen) == STRINGS:
+            chosen["".join(_ALPHABET[x - 1] for x in letters)] = None
+            if len(chosen) == most:
                 break
         yield i, list(chosen)
 
 
+def _telling(texts: list[str], evidence: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+    """Of each text the ``STRINGS`` distinct strings of most evidence."""
+    return _top_strings(texts, lambda s: _string_values(s, evidence), STRINGS)
+
+
 def train(labels: DataFrame, texts: DataFrame) -> Model:
     """Model from (doc, toxic) and (doc, text).
 
     Labels other than 0 and 1 are left out, and those without a text. The sample is the documents of each class with
     the smallest hashes, ``TOXIC_DOCS`` and ``CLEAN_DOCS`` at most. Both classes are counted over all
     labels, so that scores have the level of the whole table however much of each class is
-    drawn. With one class or none every score is its share.
+    drawn. With too few documents of a class every text scores ``UNKNOWN``. The machine is
+    trained in one task, on the strings of the sample; the driver gets its weights. What it then
+    thinks worst in each whole text of the sample joins the strings, and it is trained again,
+    ``MINING`` times; so no common word of clean texts goes unseen. Whole texts set the scale.
     """
     prepare(labels.sparkSession)
     # Written once: it is counted, and both classes are drawn from it.
@@ -379,25 +401,61 @@ def train(labels: DataFrame, texts: DataFrame) -> Model:
     clean, dirty = np.zeros(TABLE + 1), np.zeros(TABLE + 1)
     clean[counted["code"]], dirty[counted["code"]] = counted["clean"], counted["dirty"]
     known = [totals.get(label, 0) for label in (0, 1)]
-    prior = (known[1] + 1) / (sum(known) + 2)
     stands_for = tuple(max(n / most, 1.0) for n, most in zip(known, (CLEAN_DOCS, TOXIC_DOCS), strict=True))
     a, b = dirty[:-1] + 0.5, clean[:-1] + 0.5
     # Log-odds that a document with the gram is toxic, in standard errors.
     evidence = (np.log(a / (dirty[-1] + 1)) - np.log(b / (clean[-1] + 1))) / np.sqrt(1 / a + 1 / b)
-
-    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    del counted, clean, dirty, a, b
+    sent = labels.sparkSession.sparkContext.broadcast(evidence)
+    del evidence
+
+    def chosen(pick: Callable[[list[str]], Iterator[tuple[int, list[str]]]]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in range(0, len(batch), 64):
+                    part = batch.iloc[i : i + 64]
+                    for k, strings in pick(part["text"].tolist()):
+                        if not strings:
+                            continue
+                        yield pd.DataFrame(
+                            {"doc": part["doc"].iloc[k], "toxic": int(part["toxic"].iloc[k]), "string": strings}
+                        )
+
+        return sample.mapInPandas(run, "doc string, toxic int, string string")
+
+    def learn(strings: pd.DataFrame) -> pd.DataFrame:
+        model = fit(strings, sent.value, stands_for)
+        return pd.DataFrame({"weights": [model.weights.tobytes()], "slope": [model.slope], "offset": [model.offset]})
+
+    def trained_on(strings: DataFrame) -> Model:
+        learnt = strings.groupBy().applyInPandas(learn, "weights binary, slope double, offset double").first()
+        if learnt is None:
+            return fit(pd.DataFrame({"doc": [], "toxic": [], "string": []}), np.zeros(0), stands_for)
+        return Model(np.frombuffer(bytes(learnt["weights"]), dtype="f4"), learnt["slope"], learnt["offset"])
+
+    # At most STRINGS + MINING * HARD strings of each drawn document; a class without any string is no class.
+    strings = cut_lineage(chosen(lambda texts: _telling(texts, sent.value)))
+    model = trained_on(strings)
+    for _ in range(MINING if model.slope else 0):
+        weights = labels.sparkSession.sparkContext.broadcast(model.weights)
+        hard = chosen(lambda texts, w=weights: _top_strings(texts, lambda s: decisions(s, w.value), HARD))
+        strings = cut_lineage(strings.unionByName(hard).distinct())
+        model = trained_on(strings)
+    if not model.slope:
+        return model
+    weights = labels.sparkSession.sparkContext.broadcast(model.weights)
+
+    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                for k, strings in _telling(part["text"].tolist(), evidence):
-                    if not strings:
-                        continue
-                    yield pd.DataFrame(
-                        {"doc": part["doc"].iloc[k], "toxic": int(part["toxic"].iloc[k]), "string": strings}
-                    )
-
-    strings = sample.mapInPandas(telling, "doc string, toxic int, string string").toPandas()
-    return fit(strings, evidence, prior, stands_for)
+            yield batch[["doc", "toxic"]].assign(decision=worst(batch["text"].tolist(), weights.value))
+
+    # One number for each document of the sample.
+    whole = sample.mapInPandas(decided, "doc string, toxic int, decision double").toPandas()
+    toxic, apart = whole["toxic"].to_numpy() > 0, _set_apart(whole["doc"])
+    if len(set(whole["doc"][apart & toxic])) >= LEAST_DOCS:
+        whole, toxic = whole[apart], toxic[apart]
+    slope, offset = _scale(whole["decision"].to_numpy(), np.where(toxic, 1, -1), stands_for)
+    return Model(model.weights, slope, offset)
 
 
 def held_out(doc: F.Column) -> F.Column:
