@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from paraspark.llm import ann, mixing, preferences, toxicity
@@ -47,18 +48,76 @@ def test_equal_odd_and_few_vectors(spark):
     odd = [(500, None), (520, [0.0] * 4), (540, [float("nan")] * 4), (560, [1.0, None, 1.0, 1.0]), (580, []), (600, [1.0]),
            (None, [1.0] * 4), (620, [float("inf"), 0.0, 0.0, 1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in same + rest + odd], VECTORS)
-    assert found(ann.nearest_neighbours(df, share=1.0)) == brute(same + rest)
+    assert found(ann.nearest_neighbours(df)) == brute(same + rest)
     few = spark.createDataFrame([(i, v, 0) for i, v in rest[:5]], VECTORS)
     assert found(ann.nearest_neighbours(few)) == brute(rest[:5])
     assert ann.nearest_neighbours(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_cells_are_visited_by_falling_sum():
+def test_cells_are_walked_by_falling_sum():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=6), rng.normal(size=5)
-    order = ann.visit_order(a, b, np.ones(30, dtype="i8"), 30)
-    sums = [a[c // 5] + b[c % 5] for c in order]
-    assert sorted(order) == list(range(30)) and sums == sorted(sums, reverse=True)
+    walked = list(ann.walk(a, b))
+    assert sorted(c for c, _ in walked) == list(range(30))
+    sums = [a[c // 5] + b[c % 5] for c, _ in walked]
+    assert sums == sorted(sums, reverse=True) == [total for _, total in walked]
+
+
+def index_of(x):
+    half = x.shape[1] // 2
+    left, right = ann.k_means(x[:, :half], ann.CENTROIDS), ann.k_means(x[:, half:], ann.CENTROIDS)
+    a, b = ann.nearest_centroid(x[:, :half], left), ann.nearest_centroid(x[:, half:], right)
+    cell, cells = a * len(right) + b, len(left) * len(right)
+    radii = np.zeros((cells, 2))
+    np.maximum.at(radii[:, 0], cell, np.linalg.norm(x[:, :half] - left[a], axis=1))
+    np.maximum.at(radii[:, 1], cell, np.linalg.norm(x[:, half:] - right[b], axis=1))
+    return ann.Cells(left, right, np.bincount(cell, minlength=cells), radii), cell
+
+
+def clustered(rng, n, dims):
+    centres = rng.normal(size=(200, dims)) * 3
+    return centres[rng.integers(0, 200, n)] + rng.normal(size=(n, dims)) * 0.3
+
+
+def test_bounds_leave_out_only_what_cannot_count():
+    """On clusters most products are never computed; no entry at the limit is lost anywhere."""
+    rng = np.random.default_rng(5)
+    shares = {}
+    for name, x in (("clustered", clustered(rng, 20000, 32)), ("unstructured", rng.normal(size=(5000, 32)))):
+        index, cell = index_of(x)
+        done = 0
+        for q in x[::200]:
+            score = x @ q
+            first = index.first_cells(q, ann.PROBE)
+            limit = np.sort(score[np.isin(cell, first)])[-21]
+            visited = index.cells_above(q, limit)
+            assert set(cell[score >= limit]) <= set(visited)
+            done += int(index.sizes[sorted({*first, *visited})].sum())
+        shares[name] = done / (len(x[::200]) * len(x))
+    assert shares["clustered"] < 0.2, shares
+
+
+@pytest.mark.parametrize("kind", ["clustered", "unstructured"])
+def test_recall_where_cells_are_left_out(spark, kind):
+    rng = np.random.default_rng(8)
+    x = clustered(rng, 20000, 16) if kind == "clustered" else rng.normal(size=(5000, 16))
+    x = x.astype("f4")
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 0}), VECTORS)
+    got, want = found(ann.nearest_neighbours(df, every=200 if kind == "clustered" else 20)), brute(rows)
+    hits = sum(len(set(got[q]) & set(want[q])) for q in got)
+    assert len(got) == len(x) // (200 if kind == "clustered" else 20) and hits >= 0.999 * 20 * len(got)
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(2).tolist(), 0) for i in range(80)] + [(20, [1.0] * 6, 0), (20, [2.0] * 6, 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    for c in ("id", "v", "entry", "cell", "score", "rank", "query_id", "cb", "qb", "least"):
+        df = df.selectExpr("*", f"'x' AS `{c}`")
+    got = ann.nearest_neighbours(df).collect()
+    assert {r["query_id"] for r in got} == {0, 20, 40, 60}
+    assert all(r["vec_id"] != r["query_id"] for r in got)
 
 
 def test_toxic_documents_held_out(spark):
@@ -109,10 +168,24 @@ def test_classes_weigh_what_they_stand_for():
 
 def test_toxicity_without_labels_or_texts(spark, documents):
     docs = documents([(1, None), (2, ""), (None, "idiot"), (3, "word " * 30000)])
-    for rows in ([], [(1, 0, 1), (2, 0, 1)], [(1, None, None)]):
+    for rows in ([], [(1, 0, 1), (2, 0, 1)], [(1, None, None)], [(3, 1, 0)], [(1, 0, 1), (3, 1, 0)]):
         model = toxicity.train_on(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
         got = toxicity.score_documents(docs, model).collect()
         assert len(got) == 4 and len({r["score"] for r in got}) == 1 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+        # Nothing is known, so nothing is rejected.
+        assert {r["predicted"] for r in got} == {0} and all(r["score"] < 0.3 for r in got)
+        assert toxicity.reject_toxic(docs, model).count() == 4
+    assert toxicity.score_documents(documents([]), model).collect() == []
+    twice = toxicity.score_documents(documents([(1, "idiot"), (1, "idiot")]), model).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_long_strings_are_learnt_whole():
+    """What tells strings apart may stand behind any number of letters."""
+    evidence = np.zeros(toxicity.TABLE)
+    tail = "x" * 60 + "idiot"
+    (_, kept), = toxicity._telling([tail], evidence)
+    assert kept == [tail]
 
 
 def test_mix_of_the_corpus(corpus):
