@@ -5,7 +5,7 @@ Shannon entropy follows from counts of each character, of which a step changes t
 with ``S`` the sum of ``c * log2(c)`` over the counts of a window of ``W``
 characters, the entropy is ``log2(W) - S / W``, and a step adds the difference for
 the character that enters and for the one that leaves. Each character class (hex,
-base64) has its own limit. What a base span covers is cut out of a candidate, and so are the
+letters, base64) has its own limit. What a base span covers is cut out of a candidate, and so are the
 segments between separators that the allow list matches; each part that is left is judged by
 itself. Only built-in array functions run, each document within its row;
 nothing is shuffled.
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import let, prefix_sums, text_of
+from paraspark.llm.common import let, prefix_maxima, prefix_sums, text_of
 
 # The patterns of the contract, kinds in their listed order.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,20 +33,26 @@ ALLOWED = (
     r"(?i)example|sample|dummy|changeme|placeholder|your_?key",
     r"^(.)\1+$",
     r"(?i)0123456789abcdef|abcdefghijklmnop",
-    r"^[A-Za-z/]+$",
     r"^[-_=+/0-9]+$",
 )
 
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """Candidates that match ``pattern`` wholly are judged by ``limit`` bits."""
+    """Candidates that match ``pattern`` wholly, and none before it, are judged by ``limit`` bits."""
 
     pattern: str
     limit: float
 
 
-CLASSES = (CharacterClass(r"^[0-9a-fA-F]+$", 3.0), CharacterClass(r"^[A-Za-z0-9+/_=-]+$", 3.7))
+#: Letters alone need more: joined words and paths come near the limit of mixed characters.
+CLASSES = (
+    CharacterClass(r"^[0-9a-fA-F]+$", 3.0),
+    CharacterClass(r"^[A-Za-z/]+$", 3.95),
+    CharacterClass(r"^[A-Za-z0-9+/_=-]+$", 3.7),
+)
+#: Code points of the blocks that a text with spans is cut into.
+BLOCK = 4096
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
@@ -142,22 +148,50 @@ def _dense_part(candidate: Column, start: Column, window: int, kind: int) -> Col
     )
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """``text`` with a blank for each character of the spans, so that all others keep their places."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def _replaced(text: Column, spans: Column, instead) -> Column:
+    """``text`` with what ``instead`` gives for each of the spans (start, end), which stand in order.
 
-    def cut(s: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], s["at"])
-        gap = F.substring(text, (s["at"] + 1).cast("int"), (start - s["at"]).cast("int"))
-        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0)).cast("int"))
-        return F.struct(
-            F.when(x["end"] <= s["at"], s["out"]).otherwise(F.concat(s["out"], gap, blank)).alias("out"),
-            F.greatest(s["at"], x["end"]).alias("at"),
+    ``instead`` sees a span and the end of all spans before it. The text is cut into blocks
+    once, so that a span costs its own length and a block's, not the way from the text's beginning.
+    """
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        inside = lambda k: F.greatest(start - k * BLOCK, F.lit(0))
+        parts = F.transform(
+            F.sequence(F.floor(start / BLOCK), F.floor((end - 1) / BLOCK)),
+            lambda k: F.substring(
+                F.get(blocks, k.cast("int")),
+                (inside(k) + 1).cast("int"),
+                (F.least(end - k * BLOCK, F.lit(BLOCK)) - inside(k)).cast("int"),
+            ),
+        )
+        return F.when(end > start, F.array_join(parts, "")).otherwise("")
+
+    def joined(given: Column) -> Column:
+        blocks, before = given["blocks"], given["before"]
+        pieces = F.transform(
+            given["spans"],
+            lambda x, i: F.concat(
+                piece(blocks, F.get(before, i), F.greatest(x["start"], F.get(before, i))), instead(x, F.get(before, i))
+            ),
         )
+        rest = F.array(piece(blocks, F.array_max(F.transform(given["spans"], lambda x: x["end"])), given["length"]))
+        return F.array_join(F.concat(pieces, rest), "")
+
+    given = F.struct(
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+        prefix_maxima(F.transform(spans, lambda x: x["end"])).alias("before"),
+        spans.alias("spans"),
+        F.length(text).cast("long").alias("length"),
+    )
+    return F.when(F.size(spans) > 0, let(given, joined)).otherwise(text)
+
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with a blank for each character of the spans, so that all others keep their places."""
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, cut, rest)).otherwise(text)
+    covered = lambda x, before: (x["end"] - F.greatest(x["start"], before)).cast("int")
+    return _replaced(text, ordered, lambda x, before: F.repeat(F.lit(" "), F.greatest(covered(x, before), F.lit(0))))
 
 
 def _segments(part: Column, allowed: Sequence[str]) -> Column:
@@ -173,10 +207,27 @@ def _segments(part: Column, allowed: Sequence[str]) -> Column:
     return F.concat(*spans)
 
 
+def _without(run: Column, spans: Column) -> Column:
+    """A run with a blank for each character of the spans; few of them, as a run is one unbroken string."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def cut(s: Column, x: Column) -> Column:
+        start = F.greatest(x["start"], s["at"])
+        gap = F.substring(run, (s["at"] + 1).cast("int"), (start - s["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0)).cast("int"))
+        return F.struct(
+            F.when(x["end"] <= s["at"], s["out"]).otherwise(F.concat(s["out"], gap, blank)).alias("out"),
+            F.greatest(s["at"], x["end"]).alias("at"),
+        )
+
+    rest = lambda s: F.concat(s["out"], F.substring(run, (s["at"] + 1).cast("int"), F.length(run)))
+    return F.aggregate(F.array_sort(spans), begin, cut, rest)
+
+
 def _open_parts(run: Column, candidate: str, allowed: Sequence[str]) -> Column:
     """(match, start) of the parts of a run that the allow list leaves."""
     left = F.transform(
-        let(_blanked(run["match"], _segments(run["match"], allowed)), lambda t: _matches(t, candidate)),
+        let(_without(run["match"], _segments(run["match"], allowed)), lambda t: _matches(t, candidate)),
         lambda x: F.struct(x["match"].alias("match"), (run["start"] + x["start"]).alias("start")),
     )
     return F.when(_any(run["match"], allowed), F.filter(left, lambda x: ~_any(x["match"], allowed))).otherwise(
@@ -184,9 +235,9 @@ def _open_parts(run: Column, candidate: str, allowed: Sequence[str]) -> Column:
     )
 
 
-def _entropy_spans(text: Column, base: Column, window: int, allowed: Sequence[str]) -> Column:
+def _entropy_spans(text: Column, window: int, allowed: Sequence[str]) -> Column:
     candidate = rf"[A-Za-z0-9+/_=-]{{{window},}}"
-    runs = let(_blanked(text, base), lambda t: _matches(t, candidate))
+    runs = _matches(text, candidate)
     judged = F.flatten(F.transform(runs, lambda x: _open_parts(x, candidate, allowed))) if allowed else runs
     spans = F.transform(judged, lambda x: _dense_part(x["match"], x["start"], window, KINDS.index("entropy")))
     return F.when(text.rlike(candidate), F.filter(spans, lambda x: x.isNotNull())).otherwise(
@@ -227,9 +278,9 @@ def scan_secrets(
             _spans(text, 2, HEX, lambda m: F.lit(True), HEX),
         ),
     )
-    both = base.withColumn(
-        "__all", F.concat("__base", _entropy_spans(text, F.col("__base"), window, allowed))
-    )
+    # Blanks stand for what base spans cover.
+    open_text = base.withColumn("__open", _blanked(text, F.col("__base")))
+    both = open_text.withColumn("__all", F.concat("__base", _entropy_spans(F.col("__open"), window, allowed)))
     ordered = F.transform(
         F.array_sort(F.transform("__all", lambda x: F.struct(x["start"], x["kind"], x["end"]))),
         lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
@@ -263,19 +314,7 @@ def secret_digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with each merged run of ordered spans replaced by ``mask``."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def cut(s: Column, x: Column) -> Column:
-        gap = F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        inside = x["end"] <= s["at"]
-        joined = F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], gap, F.lit(mask)))
-        return F.struct(
-            F.when(inside, s["out"]).otherwise(joined).alias("out"),
-            F.greatest(s["at"], x["end"]).alias("at"),
-        )
-
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, cut, rest)).otherwise(text)
+    return _replaced(text, spans, lambda x, before: F.when(x["start"] >= before, F.lit(mask)).otherwise(""))
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:

@@ -170,3 +170,68 @@ def test_prefix_sums(spark):
     row = spark.range(1).select(prefix_sums(F.expr(f"transform(sequence(1, {n}), x -> CAST(x AS BIGINT))")).alias("s"))
     assert row.first()["s"] == [i * (i + 1) // 2 for i in range(n)]
     assert spark.range(1).select(prefix_sums(F.expr("CAST(array() AS ARRAY<BIGINT>)")).alias("s")).first()["s"] in (None, [])
+
+
+def test_many_spans_cost_their_number(spark, documents):
+    """Gaps are cut out of blocks, so time follows the spans, not their square."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"{i:032x}" for i in range(n))
+        docs = documents([(1, text)], clash=False).coalesce(1)
+        start = time.perf_counter()
+        masked = secret_scan.mask_secrets(docs).collect()[0]["text"]
+        assert masked == " ".join(["[SECRET]"] * n)
+        return time.perf_counter() - start
+
+    seconds(500)
+    few, many = seconds(4000), seconds(16000)
+    assert many <= 5 * few + 2
+
+
+def test_masks_stand_where_spans_do(spark):
+    """Overlapping, adjacent and nested spans, in text of several blocks and of wide characters."""
+    text = "ab😀é" * 3000
+    spans = [(0, 3), (2, 5), (5, 6), (4090, 4100), (4095, 4097), (8191, 8192), (8192, 8193), (11990, 12000)]
+    frame = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:bigint,end:bigint>>")
+    F = secret_scan.F
+    got = frame.select(
+        secret_scan.redact(F.col("text"), F.col("spans"), "#").alias("masked"),
+        secret_scan._blanked(F.col("text"), F.col("spans")).alias("blank"),
+    ).first()
+    covered = set().union(*(range(a, b) for a, b in spans))
+    assert got["blank"] == "".join(" " if i in covered else c for i, c in enumerate(text))
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "#"]
+        at = max(at, b)
+    assert got["masked"] == "".join(out) + text[at:]
+
+
+def test_keys_of_letters_alone_are_judged(documents):
+    rows = [(1, "key QxVbnMtRwLkJhGfDpZaSYcEuIoNB end"), (2, "see internationalization/configurations/documentation"), (3, "z" * 60)]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_secrets(documents(rows)).collect()}
+    assert got == {1: [3], 2: [], 3: []}
+
+
+def test_every_posting_must_agree(documents):
+    """A word of a template in its place is not enough to look further; all its indexed words are."""
+    weights = {w: float(len(w)) for t in license_scan.TEMPLATES for w in t.words}
+    postings, counts = license_scan.index_templates(license_scan.TEMPLATES, weights)
+    assert all(n >= min(license_scan.POSTINGS, sum(len(k) for _, k in t.keys)) for n, t in zip(counts, license_scan.TEMPLATES, strict=True))
+    for number, template in enumerate(license_scan.TEMPLATES):
+        held = {at for pairs in postings.values() for t, at in pairs if t == number}
+        assert all(held & set(range(at, at + len(key))) for at, key in template.keys)
+    rows = [
+        (1, "under the mit license and Under The MIT License"),
+        (2, "mit license under the"),
+        (3, "gnu general public license, in its version 3"),
+        (4, "gnu general public license version 3"),
+        (5, "mit mit mit license license license the the under under the mit license"),
+    ]
+    found = license_scan.scan_licenses(documents(rows)).collect()
+    hits = {r["doc_id"]: [(h["label"], h["start"]) for h in r["hits"]] for r in found}
+    base = {r["doc_id"]: [(h["label"], h["start"]) for h in r["hits"] if h["base"]] for r in found}
+    assert base[1] == [("mit", 0), ("mit", 5)] and hits[2] == []
+    assert ("gpl-3", 0) not in hits[3] and ("gpl-3", 0) in hits[4] and ("mit", 9) in hits[5]
