@@ -1,13 +1,14 @@
 """License scans by a positional index of rare licence words.
 
-Every template is a run of words with mandatory key phrases. The index keeps, for
-the rarest word of each template's first key phrase, its postings (template,
-position). Rarity is the inverse document frequency over the scanned corpus. A file is
-looked up by the rare words that it holds: each occurrence at word ``p`` and
-posting at ``q`` give the alignment ``p - q``; equal alignments of one template
-are intersected, the key phrases are verified at their relative positions, and the
-template counts when enough of its words stand where they belong. As a key phrase is
-mandatory, its rarest word must be in the file, so no template is missed.
+Every template is a run of words with mandatory key phrases. The index keeps, for the
+rarest word of each key phrase and the next rarest of all of them, ``POSTINGS`` words a template
+at least where it has that many, their postings (template, position). Rarity is the
+inverse document frequency over the scanned corpus. A file is looked up by the indexed
+words that it holds: an occurrence at word ``p`` and a posting at ``q`` give the alignment
+``p - q``. The alignments of a template's postings are intersected: only where all of them
+agree are the key phrases verified at their relative positions, and the template counts when enough
+of its words stand where they belong. As indexed words belong to mandatory phrases, no
+template is missed.
 
 All of it is array functions on one row: nothing is shuffled except one row for
 each licence word of a document towards its document frequency, added up map-side.
@@ -22,8 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import lower_ascii, text_of
+from paraspark.llm.common import let, lower_ascii, text_of
 
+#: Words of a template that the index holds, if its key phrases have as many.
+POSTINGS = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -112,29 +115,35 @@ def word_weights(docs: DataFrame, text_col: str, templates: Sequence[Template])
 
 def index_templates(
     templates: Sequence[Template], weights: dict[str, float]
-) -> tuple[dict[str, list[tuple[int, int]]], list[str]]:
-    """Postings of each template's rarest key word, and those words."""
+) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """Postings {word: [(template, position)]} of rare key words, and how many each template has."""
     postings: dict[str, list[tuple[int, int]]] = {}
+    counts = []
     for number, template in enumerate(templates):
-        at, key = template.keys[0]
-        rare = max(range(len(key)), key=lambda i: (weights[key[i]], -i))
-        postings.setdefault(key[rare], []).append((number, at + rare))
-    return postings, sorted(postings)
+        rarity = lambda at: (-weights[template.words[at]], at)  # noqa: B023, E731
+        phrases = [range(at, at + len(key)) for at, key in template.keys]
+        chosen = {min(phrase, key=rarity) for phrase in phrases}
+        for at in sorted({at for phrase in phrases for at in phrase} - chosen, key=rarity):
+            if len(chosen) >= POSTINGS:
+                break
+            chosen.add(at)
+        counts.append(len(chosen))
+        for at in sorted(chosen):
+            postings.setdefault(template.words[at], []).append((number, at))
+    return postings, counts
 
 
-def _alignments(words: Column, postings: dict[str, list[tuple[int, int]]], rare: list[str]) -> Column:
-    """Distinct (template, start) to which a rare word of the file points."""
-    rare_array = F.array(*map(F.lit, rare))
+def _alignments(words: Column, postings: dict[str, list[tuple[int, int]]], counts: list[int]) -> Column:
+    """(template, start) at which all postings of the template meet the file."""
+    rare_array = F.array(*map(F.lit, postings))
     table = F.create_map(
         *[
             x
-            for w in rare
-            for x in (
-                F.lit(w),
-                F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in postings[w]]),
-            )
+            for w, pairs in postings.items()
+            for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in pairs]))
         ]
     )
+    needed = F.array(*map(F.lit, counts))
     places = F.filter(
         F.transform(words, lambda w, i: F.when(F.array_contains(rare_array, w), i)), lambda p: p.isNotNull()
     )
@@ -147,7 +156,15 @@ def _alignments(words: Column, postings: dict[str, list[tuple[int, int]]], rare:
             ),
         )
     )
-    return F.array_distinct(F.filter(pointed, lambda x: x["s"] >= 0))
+    # Equal alignments stand together once sorted; a posting gives each at most once.
+    return let(
+        F.array_sort(F.filter(pointed, lambda x: x["s"] >= 0)),
+        lambda found: F.filter(
+            found,
+            lambda x, i: F.coalesce(F.get(found, i + F.get(needed, x["t"]) - 1) == x, F.lit(False))
+            & ((i == 0) | (F.get(found, i - 1) != x)),
+        ),
+    )
 
 
 def scan_licenses(
@@ -166,7 +183,7 @@ def scan_licenses(
     ``docs``, whatever their names, are not looked at.
     """
     weights = word_weights(docs, text_col, templates)
-    postings, rare = index_templates(templates, weights)
+    postings, counts = index_templates(templates, weights)
     numbered = [
         F.struct(
             F.lit(t.label).alias("label"),
@@ -212,7 +229,7 @@ def scan_licenses(
 
     empty = F.array().cast("array<struct<label:string,start:bigint,n_words:bigint,base:boolean,cover:double>>")
     found = F.filter(
-        F.transform(_alignments(words, postings, rare), judged),
+        F.transform(_alignments(words, postings, counts), judged),
         lambda h: (h["cover"] > 0) & (h["base"] | (h["cover"] >= min_cover)),
     )
     ordered = F.array_sort(
@@ -225,7 +242,7 @@ def scan_licenses(
     return split.select(
         id_col,
         F.size("__words").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap(words, F.array(*map(F.lit, rare))), ordered).otherwise(empty).alias("hits"),
+        F.when(F.arrays_overlap(words, F.array(*map(F.lit, postings))), ordered).otherwise(empty).alias("hits"),
     )
 
 
