@@ -7,12 +7,13 @@
    those with the longest common prefix are neighbours, however deep that is. For each
    document the neighbour found in most trees, deepest prefixes first, is confirmed on full
    sets. That joins the copies of dense regions by about one link each.
-3. Twice, every document of a region that holds several components is confirmed with the
-   one of another component whose signature agrees most.
-4. Every region that still holds more than one component is searched in full: all its
+3. Depth adapts to the region: one of more than ``CHUNK`` documents is first split by the four,
+   then by the two minima that follow. Every document of a region that holds several
+   components is confirmed with the one of another component whose signature agrees most.
+4. Every region, at its first depth, that still holds more than one component is searched in full: all its
    pairs across components whose signatures agree enough are confirmed there, on sets that
    come along. A region is split in chunks, and pairs of chunks go to tasks, so no region
-   meets in one task and only links leave it.
+   meets in one task and only links leave it; chunks of one component never meet.
 
 At a similarity of 0.75 two texts share no region with a probability of 5e-6, and less
 above. All links within one component may be skipped, none across components.
@@ -41,8 +42,8 @@ PERCENT = 75
 #: Pairs whose signatures agree less are not confirmed: four standard deviations below 0.75.
 LEAST_AGREEMENT = 0.6
 CHUNK = 1024
-#: Rounds of step 3. They save work in step 4, which finds all links in any case.
-ROUNDS = 2
+#: Minima by which the rounds of step 3 split large regions. They save work in step 4, which finds all links in any case.
+DEEPER = (4, 2)
 _RANDOM = np.random.default_rng(75)
 _FACTORS = _RANDOM.integers(1, 1 << 32, TREES * DEPTH, dtype="u8").astype("u4") | np.uint32(1)
 _TERMS = _RANDOM.integers(0, 1 << 32, TREES * DEPTH, dtype="u8").astype("u4")
@@ -309,21 +310,63 @@ def _by_group(pick):
     return run
 
 
+def _deepened(regions: DataFrame, minima: int) -> DataFrame:
+    """Regions of more than ``CHUNK`` nodes split by the ``minima`` (0, 2 or 4) that follow; others as they are."""
+    deeper = ["deep1", "deep2"][: minima // 2]
+    if not deeper:
+        return regions
+    return regions.withColumn(
+        "region", F.when(F.col("size") > CHUNK, F.xxhash64("region", *deeper)).otherwise(F.col("region"))
+    )
+
+
 def _across(regions: DataFrame, facts: DataFrame, labels: DataFrame, pick) -> DataFrame:
     """What ``pick`` gives for the pairs of chunks of each region with several components.
 
-    ``facts`` has what it needs to know of a node: its signature, for links its set as well.
+    A component of more than ``CHUNK`` nodes has chunks of its own, the others of a region share
+    some; chunks of one component do not meet. So a region of one large component and a few
+    other nodes costs its rows times the chunks of those few, not the square of its rows.
+    ``facts`` has what ``pick`` needs to know of a node: its signature, for links its set as well.
     """
     placed = regions.select("region", "tree", "node").join(labels, "node")
     mixed = (
         placed.groupBy("region")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
         .where("low <> high")
-        .select("region", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+        .select("region", "size")
+    )
+    # Components and chunks of the large ones among these regions: few rows for a region's every CHUNK nodes.
+    parts = (
+        placed.join(mixed.where(F.col("size") > CHUNK).select("region"), "region")
+        .groupBy("region", "component")
+        .agg(F.count("*").alias("size"))
+        .withColumn("big", F.col("size") > CHUNK)
+        .withColumn("owner", F.when(F.col("big"), F.col("component")).otherwise(F.lit(0)))
+    )
+    owners = parts.groupBy("region", "big", "owner").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("n"))
+    chunks = (
+        owners.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .groupBy("region")
+        .agg(F.array_sort(F.collect_list(F.struct("big", "owner", "part", "n"))).alias("listed"))
+    )
+    alone = F.array(F.struct(F.lit(False).alias("big"), F.lit(0).cast("long").alias("owner"), F.lit(0).alias("part"), F.lit(1).alias("n")))
+    members = (
+        placed.join(mixed.select("region"), "region")
+        .join(chunks, "region", "left")
+        .join(parts.where("big").select("region", "component", "owner"), ["region", "component"], "left")
+        .withColumn("chunks", F.coalesce("listed", alone))
+        .withColumn("big", F.col("owner").isNotNull())
+        .withColumn("owner", F.coalesce("owner", F.lit(0)))
+        .withColumn("own", F.filter("chunks", lambda c: (c["big"] == F.col("big")) & (c["owner"] == F.col("owner"))))
+        .withColumn("mine", F.get("own", F.pmod(F.xxhash64("node"), F.size("own")).cast("int")))
+        .withColumn("chunk", (F.array_position("chunks", F.col("mine")) - 1).cast("int"))
+    )
+    # A shared chunk meets itself (side 2) and every other chunk, one of a component all but its own; the smaller is side 0.
+    meets = F.filter(
+        F.transform("chunks", lambda c, i: F.when(~F.col("big") | (c["owner"] != F.col("owner")) | ~c["big"], i)),
+        lambda i: i.isNotNull(),
     )
-    members = placed.join(mixed, "region").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # A chunk meets itself (side 2) and every other chunk, the smaller one as side 0.
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    dealt = members.withColumn("other", F.explode(meets)).select(
         "region",
         "tree",
         "node",
@@ -388,9 +431,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     regions = nodes.mapInPandas(_regions, "region long, tree int, deep1 long, deep2 long, node long")
     # Only regions of more than one node can give links.
     shared = (
-        regions.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+        regions.groupBy("region")
+        .agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
+        .where("a <> b")
     )
-    regions = cut_lineage(regions.join(shared.select("region"), "region"))
+    regions = cut_lineage(regions.join(shared.select("region", "size"), "region"))
     wanted = (
         regions.select("node")
         .distinct()
@@ -410,8 +455,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signatures = nodes.select("node", "signature")
     labels = cut_lineage(regions.select("node", F.col("node").alias("component")).distinct())
     labels, more = _merged(labels, confirm_pairs(nearest, sets))
-    for _ in range(ROUNDS if more else 0):
-        found = _across(regions, signatures, labels, _best_across)
+    for minima in DEEPER if more else ():
+        found = _across(_deepened(regions, minima), signatures, labels, _best_across)
         best = found.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b"))
         labels, _ = _merged(labels, confirm_pairs(_ordered(best), sets))
     rest = _across(regions, signatures.join(sets, "node"), labels, _links_across)
@@ -470,8 +515,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select(F.col("id").alias("__kept"), F.col("hash").alias("__kept_hash"), F.col("rows").alias("__rows"))
     )
     hashed = docs.withColumn("__row_hash", F.xxhash64(text_of(docs, text_col)))
+    # One row a component: it grows with the documents, so it is never broadcast.
     staying = hashed.join(
-        kept,
+        kept.hint("merge"),
         hashed[id_col].cast("long").eqNullSafe(F.col("__kept")) & (F.col("__row_hash") == F.col("__kept_hash")),
     )
     single = staying.where("__rows = 1").select(*docs.columns)
