@@ -232,9 +232,90 @@ FROM scored s LEFT JOIN placed p USING (doc_id)
 """
 
 
+_PREFERENCES = r"""
+WITH turns AS (
+  SELECT conv_id AS conv, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+  SELECT conv, role, text, ROW_NUMBER() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM turns
+),
+replies AS (
+  SELECT conv, MAX(place) AS spot, arg_max(text, place) AS reply FROM placed WHERE role = 'assistant' GROUP BY conv
+),
+paired AS (
+  SELECT conv, spot, COALESCE(LEAD(reply) OVER (ORDER BY conv), FIRST_VALUE(reply) OVER (ORDER BY conv)) AS other FROM replies
+),
+whole AS (SELECT conv, list({'role': role, 'text': text} ORDER BY place) AS good FROM placed GROUP BY conv),
+both_sides AS (
+  SELECT conv, good, list_concat(list_slice(good, 1, spot), [{'role': 'assistant', 'text': other}]) AS bad
+  FROM paired JOIN whole USING (conv)
+),
+common AS (
+  SELECT *, list_min(list_filter(range(0, LEAST(len(good), len(bad)) + 1),
+                                 lambda i: i = LEAST(len(good), len(bad)) OR good[i + 1] <> bad[i + 1])) AS n
+  FROM both_sides
+),
+parts AS (
+  SELECT conv, n, list_slice(good, 1, n) AS shared, list_slice(good, n + 1, len(good)) AS good, list_slice(bad, n + 1, len(bad)) AS bad
+  FROM common
+)
+SELECT conv AS conv_id, n AS prompt_turns,
+       COALESCE(array_to_string(list_transform(shared, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+       COALESCE(array_to_string(list_transform(good, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+       COALESCE(array_to_string(list_transform(bad, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+       COALESCE(array_to_string(list_transform(
+         list_filter(range(1, len(good) + 1), lambda i: good[i].role = 'assistant'),
+         lambda i: (COALESCE(list_sum(list_transform(list_slice(good, 1, i - 1), lambda t: length(t.role) + length(t.text) + 13)), 0)
+                    + length(good[i].role) + 5)::BIGINT || ':'
+                || (COALESCE(list_sum(list_transform(list_slice(good, 1, i - 1), lambda t: length(t.role) + length(t.text) + 13)), 0)
+                    + length(good[i].role) + length(good[i].text) + 12)::BIGINT), ','), '') AS chosen_mask,
+       COALESCE(array_to_string(list_transform(
+         list_filter(range(1, len(bad) + 1), lambda i: bad[i].role = 'assistant'),
+         lambda i: (COALESCE(list_sum(list_transform(list_slice(bad, 1, i - 1), lambda t: length(t.role) + length(t.text) + 13)), 0)
+                    + length(bad[i].role) + 5)::BIGINT || ':'
+                || (COALESCE(list_sum(list_transform(list_slice(bad, 1, i - 1), lambda t: length(t.role) + length(t.text) + 13)), 0)
+                    + length(bad[i].role) + length(bad[i].text) + 12)::BIGINT), ','), '') AS rejected_mask
+FROM parts
+"""
+
+_NEAR_DEDUP = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(
+           string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, UNNEST(
+    CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))
+         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle
+  FROM texts
+),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 100 * c >= 75 * (sx.n + sy.n - c)
+),
+neighbours AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id AS x, doc_id AS r FROM documents
+  UNION
+  SELECT n.y, reached.r FROM reached JOIN neighbours n ON n.x = reached.x
+),
+lowest AS (SELECT x AS doc_id, MIN(r) AS component_id FROM reached GROUP BY x)
+SELECT d.doc_id, COALESCE(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN lowest l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_preference_format": _PREFERENCES,
         "op7_substring_dedup": _SUBSTRING_DEDUP,
+        "op9_near_dedup": _NEAR_DEDUP,
         "op11_filter_audit": _FILTER_AUDIT,
         "op13_importance_resampling": _RESAMPLING,
     }

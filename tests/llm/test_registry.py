@@ -19,7 +19,7 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "labels", "benchmark"):
+    for table in ("documents", "labels", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = connection.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
