@@ -303,3 +303,20 @@ def test_pipeline_keeps_the_columns(spark, last):
             assert 0.6 * before < docs.count() <= before
     done = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(done) == docs.count() and all(r["n_tokens"] == len(r["ids"]) for r in done)
+
+
+def test_preferences_of_odd_turns(spark):
+    """Repeated turns stand one after another; long texts, NULLs and clashing columns; an empty table."""
+    long = "b" * 30000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, None, "z"), (2, 1, "assistant", long),
+            (None, 0, "assistant", "lost"), (3, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for c in ("conv", "place", "at", "reply", "range", "next", "other", "good", "bad", "n"):
+        df = df.selectExpr("*", f"'x' AS `{c}`")
+    turns = preferences.conversation_turns(df)
+    got = {r["conv_id"]: r for r in preferences.format_preferences(turns, preferences.rejected_from_next(turns, wrap=True)).collect()}
+    assert got.keys() == {1, 2}
+    assert got[1]["prompt_turns"] == 2 and long in got[1]["rejected"] and got[1]["chosen"] == "<|assistant|>\na<|end|>\n"
+    assert got[2]["prompt"] == "<||>\nz<|end|>\n" and got[2]["rejected"] == "<|assistant|>\na<|end|>\n"
+    none = preferences.conversation_turns(df.limit(0))
+    assert preferences.format_preferences(none, preferences.rejected_from_next(none, wrap=True)).collect() == []
