@@ -12,12 +12,14 @@ hashes in hex, pieces of 8 digits each without separators.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,7 @@ MOST = 96
 SECTION = 8
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
+LEAST_ID = -(1 << 63)
 
 
 def _piece_ends(raw: np.ndarray) -> np.ndarray:
@@ -158,6 +161,8 @@ def _edited(text: str, following: str) -> str:
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Results of each row with the one that follows it in its range; the range's last row only follows."""
     before = None
+    # Text, and result, of the last row that was followed by one with the same text.
+    same, result = None, ()
     for batch in batches:
         out = []
         for place, tail, doc, text in zip(
@@ -167,8 +172,12 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             own = None
             if before is not None and before[0] == place:
-                own = fingerprint(text)
-                out.append(_row(before, text, own))
+                repeated = text == before[2]
+                own = before[3] if repeated else fingerprint(text)
+                if not (repeated and text == same):
+                    result = _row(before, text, own)[1:]
+                    same = text if repeated else None
+                out.append((before[1], *result))
             before = None if tail else (place, doc, text, own or fingerprint(text))
         yield pd.DataFrame(out, columns=COLUMNS)
 
@@ -192,6 +201,40 @@ def _row(row: tuple, following: str, following_mark: tuple[str, np.ndarray]) ->
     )
 
 
+def _literals(values: list[int], kind: str) -> Column:
+    """The numbers as one array."""
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+def placed_documents(source: DataFrame, wanted: int) -> DataFrame:
+    """(id, text, hash, range): rows in falling order of id, then rising hash, cut into about ``wanted`` ranges.
+
+    An id that holds several ranges, and the rows without id, which come last, are cut by the hash.
+    """
+    source = source.withColumn("hash", F.xxhash64("text"))
+    shares = [i / wanted for i in range(1, wanted)]
+    known = source.agg(
+        F.percentile_approx("id", shares, 10 * len(shares) + 100).alias("drawn"),
+        F.count("*").alias("rows"),
+        F.count("id").alias("named"),
+    ).first()
+    drawn = Counter(known["drawn"] or [])
+    # An id that is drawn twice has a range of its own, cut into a part for each share of the rows that it holds.
+    hot = {b: n for b, n in drawn.items() if n > 1}
+    bounds = sorted({*drawn, *(b - 1 for b in hot if b > LEAST_ID)}, reverse=True)
+    parts = [1, *(hot.get(b, 0) + 1 for b in bounds), 1 + wanted * (known["rows"] - known["named"]) // max(known["rows"], 1)]
+    # Rounding may lift the largest hashes into one part more.
+    first_part = [0, *itertools.accumulate(n + 1 for n in parts)]
+    # Range 0 holds the largest ids, the last one those without.
+    number = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(
+        F.lit(len(bounds)) - F.size(F.filter(_literals(bounds, "bigint"), lambda b: F.col("id") > b))
+    )
+    part = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * F.get(_literals(parts, "int"), F.col("number")))
+    return source.withColumn("number", number).select(
+        "id", "text", "hash", (F.get(_literals(first_part, "int"), F.col("number")) + part).cast("int").alias("range")
+    )
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text and of its text edited from the next document.
 
@@ -202,21 +245,15 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     columns are not looked at.
 
     Ids are cut into ranges; each range also gets the first document of the next one. So texts
-    are shuffled once, and a task streams through a range.
+    are shuffled once, and a task streams through a range. Rows of one id, or without any, are cut further by
+    their hash; only rows equal in id and text stay together, and of those one result is derived.
     """
     spark = docs.sparkSession
     prepare(spark)
     partitions = shuffle_partitions(spark)
     text = text_of(docs, text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    shares = [i / (partitions * RANGES) for i in range(1, partitions * RANGES)]
-    bounds = source.agg(F.percentile_approx("id", shares, 10 * len(shares) + 100)).first()[0] or []
-    bounds = sorted(set(bounds), reverse=True)
-    # Range 0 holds the largest ids; those without id are in a range of their own.
-    number = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(
-        F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: F.col("id") > b))
-    )
-    placed = source.withColumn("range", number)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    placed = placed_documents(source, partitions * RANGES)
     # NULL ids compare by their hash alone. One row for each range comes to the driver.
     heads = {
         r["range"]: (r["top"]["id"], -r["top"]["low"])

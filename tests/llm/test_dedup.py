@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paraspark.llm import fingerprints, near_dedup, shingles, substring_dedup
 from paraspark.llm.components import connected_components
@@ -195,6 +196,26 @@ def test_one_document_follows_itself(documents):
     assert len(twice) == 3
 
 
+@pytest.mark.parametrize("hot", [None, 70])
+def test_rows_of_one_id_are_cut_by_their_hash(documents, hot):
+    rows = [(i, f"text {i} " * (1 + i % 7)) for i in range(120)]
+    rows += [(hot, f"other {i} " * (1 + i % 5)) for i in range(150)] + [(hot, "same text")] * 60
+    df = documents(rows)
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    expected = []
+    for k, (i, own) in enumerate(rows):
+        n = len(own) // 3
+        edited = own[: len(own) - n] + rows[(k + 1) % len(rows)][1][:n]
+        expected.append((str(i), len(own), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.fingerprint(own)[0]))
+    out = fingerprints.fingerprint_documents(df)
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in out.collect()]
+    assert sorted(got) == sorted(expected)
+    ranges = fingerprints.placed_documents(df.select(F.col("doc_id").alias("id"), "text"), 32)
+    sizes = [r["count"] for r in ranges.where(F.col("id").eqNullSafe(F.lit(hot)) & (F.col("text") != "same text")).groupBy("range").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 40
+
+
 def test_branches_locate_edits():
     lines = [f"line {i} with some words of its own {i * i}" for i in range(60)]
     a = "\n".join(lines)
