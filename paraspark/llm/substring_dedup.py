@@ -27,8 +27,11 @@ from paraspark.llm.common import prepare, shuffle_partitions, text_of
 from paraspark.llm.shingles import mix, window_hashes, word_hashes
 
 WINDOW = 50
-#: Buckets of hashes for each shuffle partition.
+#: Buckets of hashes for each shuffle partition, at least.
 BUCKETS = 4
+#: Text whose windows one bucket, or one home of ids, holds at most on average: a task has one of them in memory.
+PART_BYTES = 16 << 20
+MOST_BUCKETS = 1 << 20
 #: Entries that a task gathers before it sends them.
 FLUSH = 2_000_000
 #: Bits of a block's hash. Equal bits of different blocks only cost a comparison.
@@ -325,6 +328,13 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept"])
 
 
+def parts_for(source: DataFrame) -> tuple[int, int]:
+    """Numbers of buckets of hashes and of homes of ids, from the length of all texts and the shuffle partitions."""
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions, needed = shuffle_partitions(source.sparkSession), -(-size // PART_BYTES)
+    return min(max(partitions * BUCKETS, needed), MOST_BUCKETS), max(partitions, needed)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``n_words``, ``n_removed`` and ``kept`` (words left, joined by blanks) of every whole text.
 
@@ -335,11 +345,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     prepare(spark)
-    homes = shuffle_partitions(spark)
-    buckets = min(homes * BUCKETS, 1 << 20)
     source = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(docs, text_col).alias("text")
     )
+    buckets, homes = parts_for(source)
 
     def exchanged(sent: DataFrame, settle) -> DataFrame:
         met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(

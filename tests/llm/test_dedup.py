@@ -145,6 +145,18 @@ def test_planted_repeats(documents, monkeypatch):
     assert removed(documents(list(texts.items()))) == repeats(texts)
 
 
+def test_buckets_follow_the_texts(corpus, monkeypatch):
+    df, texts = corpus
+    size = sum(len((t or "").encode()) for t in texts.values())
+    partitions = substring_dedup.shuffle_partitions(df.sparkSession)
+    assert substring_dedup.parts_for(df) == (partitions * substring_dedup.BUCKETS, partitions)
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 10_000)
+    buckets, homes = substring_dedup.parts_for(df)
+    assert buckets == homes == -(-size // 10_000) > 4 * partitions
+    assert substring_dedup.parts_for(df.limit(0)) == (partitions * substring_dedup.BUCKETS, partitions)
+    assert removed(df) == repeats(texts)
+
+
 def test_repeats_with_odd_ids(documents):
     text = " ".join(f"w{i}" for i in range(60))
     got = substring_dedup.remove_repeats(documents([(5, text), (5, text), (None, text), (7, "a b")])).collect()
